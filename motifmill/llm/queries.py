@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.functions.motifs import canonical_motif
+from motifmill.llm.mixing import Mix, Target, mix_sources
+from motifmill.llm.packing import pack_items
+from motifmill.llm.shared import maximal_spans, shared_bases, sharing_pairs
+from motifmill.llm.splitting import split_records
 from motifmill.llm.survivors import Field, survivors
 from motifmill.llm.terms import mark_by_spread, term_frequencies
+from motifmill.llm.tokens import count_tokens
 from motifmill.llm.topn import top_n_per_group
 from motifmill.plans.sql import CANONICAL_SQL
 from motifmill.sources.tables import table
@@ -15,6 +20,8 @@ from motifmill.sources.tables import table
 TOP_N = 5
 RARE_CHROMS = 2
 COMMON_SHARE = 0.2
+SPAN = 100
+MIN_GAP = 10
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +60,94 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_records(spark, folder).where("n_rows > 1").select("first_id", *given)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_records": p4_records}
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of reference records that share a stretch of 100 or more bases."""
+    return sharing_pairs(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN).select(F.col("record_a").alias("seq_a"), F.col("record_b").alias("seq_b"))
+
+
+def p6_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal shared stretches between reference records (one record for each exact copy class)."""
+    return maximal_spans(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN)
+
+
+def p6_shared_bases(spark: SparkSession, folder: str) -> DataFrame:
+    """For each reference record, how many of its bases are shared with another."""
+    return shared_bases(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN)
+
+
+def _limits(spark: SparkSession, folder: str, kind: str) -> list[tuple[str, int, int]]:
+    rows = table(spark, folder, "size_limits").where(F.col("item_kind").like(kind)).orderBy("item_kind").collect()  # a handful of settings
+    return [(r["item_kind"], r["max_size"], r["overlap_size"]) for r in rows]
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All reference records in pieces within the size limit."""
+    ((_, max_size, overlap),) = _limits(spark, folder, "fasta_seq")
+    return split_records(table(spark, folder, "fasta"), "seq_ord", "seq", max_size, overlap, MIN_GAP).withColumnRenamed("record", "seq_ord")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records above the limit: whether all cuts lie in assembly gaps ('free') or some had to be forced."""
+    ((_, max_size, overlap),) = _limits(spark, folder, "fasta_seq")
+    oversized = table(spark, folder, "fasta").where(F.length("seq") > max_size)
+    pieces = split_records(oversized, "seq_ord", "seq", max_size, overlap, MIN_GAP, with_text=False)
+    forced = F.max((F.col("cut_kind") == "forced").cast("int"))
+    return pieces.groupBy(F.col("record").alias("seq_ord")).agg(F.when(forced == 1, F.lit("forced")).otherwise(F.lit("free")).alias("cut_kind"))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, for each container size."""
+    documents = table(spark, folder, "documents")
+    sized = documents.select("doc_id", count_tokens(F.col("text")).alias("n_tokens"))
+    containers = [(kind, size) for kind, size, _ in _limits(spark, folder, "doc_pack_%")]
+    return pack_items(sized, "doc_id", "n_tokens", containers, documents.count()).withColumnRenamed("item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """For each container size: containers used, tokens held, and the share of space that is filled."""
+    return (
+        p8_packed(spark, folder)
+        .groupBy("container_kind", "capacity", "shard", "bin_no")
+        .agg(F.sum("piece_size").alias("_held"))
+        .groupBy("container_kind", "capacity")
+        .agg(F.count(F.lit(1)).alias("n_containers"), F.sum("_held").alias("n_tokens"))
+        .withColumn("fill_share", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+    )
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    sized = table(spark, folder, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
+    targets = [Target(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, folder, "mix_targets").collect()]  # one row a source
+    return mix_sources(sized, "doc_id", "source", "n_tokens", targets)
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix: a row for each copy of a document, in shuffled order."""
+    return _mix(spark, folder).copies.withColumnsRenamed({"record": "doc_id", "size": "n_tokens"})
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached by each source of the mix."""
+    return _mix(spark, folder).shares
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_terms": p3_terms,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
+    "p6_found": p6_found,
+    "p6_spans": p6_spans,
+    "p6_shared_bases": p6_shared_bases,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+}
 
 _TERMS = f"""
 WITH calls AS (SELECT chrom, {CANONICAL_SQL} AS motif FROM tandem_repeats),
@@ -83,6 +177,13 @@ groups AS (
   FROM numbered GROUP BY chrom, canonical, grp
 )"""
 
+_STRETCHES = f"""
+WITH stretches AS (
+  SELECT seq_ord, n_bases, p, substring(s, p, {SPAN}) AS stretch
+  FROM (SELECT seq_ord, s, n_bases, unnest(range(1, n_bases - {SPAN} + 2)) AS p FROM (SELECT seq_ord, upper(seq) AS s, length(seq) AS n_bases FROM fasta WHERE length(seq) >= {SPAN}))
+),
+clean AS (SELECT * FROM stretches WHERE length(translate(stretch, 'ACGT', '')) = 0)"""
+
 SQL = {
     "p2_found": f"""
 SELECT chrom, CAST(rank_no AS INTEGER) AS rank_no, rec_id
@@ -92,4 +193,14 @@ WHERE rank_no <= {TOP_N}""",
     "p3_terms": f"{_TERMS} SELECT * FROM marked",
     "p4_found": f"{_GROUPS} SELECT first_id, motif_from, coalesce(tier_from, -1) AS tier_from, coalesce(confidence_from, -1) AS confidence_from FROM groups WHERE n_rows > 1",
     "p4_records": f"{_GROUPS} SELECT * FROM groups",
+    "p6_found": f"""{_STRETCHES}
+SELECT DISTINCT a.seq_ord AS seq_a, b.seq_ord AS seq_b FROM clean a JOIN clean b USING (stretch) WHERE a.seq_ord < b.seq_ord""",
+    "p6_shared_bases": f"""{_STRETCHES},
+shared AS (SELECT * FROM clean WHERE stretch IN (SELECT stretch FROM clean GROUP BY stretch HAVING count(DISTINCT seq_ord) > 1)),
+steps AS (SELECT seq_ord, least({SPAN}, coalesce(lead(p) OVER (PARTITION BY seq_ord ORDER BY p) - p, {SPAN})) AS step FROM shared)
+SELECT seq_ord AS record, CAST(coalesce(length(seq), 0) AS BIGINT) AS n_bases, CAST(coalesce(shared_bases, 0) AS BIGINT) AS shared_bases
+FROM fasta LEFT JOIN (SELECT seq_ord, sum(step) AS shared_bases FROM steps GROUP BY seq_ord) USING (seq_ord)""",
+    "p7_found": """
+SELECT seq_ord, CASE WHEN list_max(list_transform(regexp_split_to_array(upper(seq), 'N{10,}'), lambda s: length(s))) <= max_size - overlap_size THEN 'free' ELSE 'forced' END AS cut_kind
+FROM fasta, size_limits WHERE item_kind = 'fasta_seq' AND length(seq) > max_size""",
 }
