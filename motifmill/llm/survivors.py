@@ -39,15 +39,16 @@ def survivors(df: DataFrame, keys: list[str], start: str, end: str, row_id: str,
     come several times count each time in ``n_rows``. An empty table gives an empty result.
     """
     best = {f.name: F.when(f.usable, F.struct(*(p.alias(f"p{i}") for i, p in enumerate(f.priority)), F.col(timestamp).alias("at"), (-F.col(row_id)).alias("neg_id"), f.value.alias("value"))) for f in fields}
-    rows = df.dropna(subset=[*keys, start, end]).where(F.col(end) > F.col(start)).select(
-        *keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(row_id).alias("_id"), *(c.alias(f"_best_{n}") for n, c in best.items())
-    )
+    valid = df.where(F.col(end) > F.col(start))
+    rows = valid.dropna(subset=keys).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(row_id).alias("_id"), *(c.alias(f"_best_{n}") for n, c in best.items()))
     merge = [F.max(f"_best_{n}").alias(f"_best_{n}") for n in best]
     block = F.expr(f"shiftright(_s, {block_bits})")
     last_block = F.expr(f"shiftright(_e - 1, {block_bits})")
     spans = rows.groupBy(*keys, "_s", "_e").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), *merge).withColumn("_block", block)
     carries = (
-        rows.where(last_block > block)
+        valid.where(F.expr(f"shiftright({end} - 1, {block_bits}) > shiftright({start}, {block_bits})"))  # few rows: before anything is made of the keys
+        .dropna(subset=keys)
+        .select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
         .select(*keys, "_e", F.explode(F.sequence(block + 1, last_block)).alias("_block"))
         .groupBy(*keys, "_block")
         .agg(F.max("_e").alias("_e"))
