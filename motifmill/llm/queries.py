@@ -14,6 +14,7 @@ from motifmill.llm.survivors import Field, survivors
 from motifmill.llm.terms import mark_by_spread, term_frequencies
 from motifmill.llm.tokens import count_tokens
 from motifmill.llm.topn import top_n_per_group
+from motifmill.llm.truncation import fit, score
 from motifmill.plans.sql import CANONICAL_SQL
 from motifmill.sources.tables import table
 
@@ -132,6 +133,22 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares
 
 
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return score(documents, fit(documents, "doc_id", "source", "text"), "doc_id", "source", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return _scored(spark, folder).where("truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts its texts (null: documents without a source)."""
+    cut = F.sum(F.col("truncated").cast("bigint"))
+    return _scored(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), cut.alias("n_truncated"), (cut / F.count(F.lit(1))).alias("truncation_rate"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -147,6 +164,8 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 _TERMS = f"""
