@@ -45,7 +45,7 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def _measures(text: Column) -> dict[str, Column]:
-    return {"chars": F.length(text), "bytes": F.octet_length(text), "words": _count(text, " ") + 1}
+    return {"chars": F.length(text), "bytes": F.octet_length(text), "words": F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1}
 
 
 def length_limits(df: DataFrame, source: str, text: str, least: int = 5, least_share: float = 0.01) -> DataFrame:
@@ -116,16 +116,19 @@ def with_features(df: DataFrame, text: str, at_limit: Column) -> DataFrame:
     return lines.withColumn("_features", F.array_compact(F.array(*features))).drop("_t", "_mark", "_b", "_line", "_above", "_tail", "_end", "_head", "_last", "_list")
 
 
+_MEASURES = ("chars", "bytes", "words")
+
+
 def _with_limits(df: DataFrame, source: str, limits: DataFrame) -> DataFrame:
-    """Adds ``_limits``, the limits of the row's source by measure (at most 1 / least_share each)."""
-    known = limits.groupBy("_source").agg(F.collect_set(F.struct("_measure", "_limit")).alias("_limits"))
+    """Adds ``_limits_<measure>``, the limits of the row's source (at most 1 / least_share each)."""
+    known = limits.groupBy("_source").agg(*(F.collect_set(F.when(F.col("_measure") == m, F.col("_limit"))).alias(f"_limits_{m}") for m in _MEASURES))
     return df.join(known, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
 def _at_limit(text: Column) -> Column:
     """The measure in which ``text`` is as long as a limit of its source, else 'no'."""
-    sizes = F.create_map(*(x for name, size in _measures(text).items() for x in (F.lit(name), size)))
-    return F.coalesce(F.get(F.filter("_limits", lambda x: sizes[x["_measure"]] == x["_limit"]), F.lit(0))["_measure"], F.lit("no"))
+    at = [F.when(F.array_contains(f"_limits_{name}", size), F.lit(name)) for name, size in _measures(text).items()]
+    return F.coalesce(*at, F.lit("no"))
 
 
 def _cuts(texts: DataFrame, record: str, text: str, seed: int) -> DataFrame:
@@ -135,15 +138,17 @@ def _cuts(texts: DataFrame, record: str, text: str, seed: int) -> DataFrame:
     anywhere = [F.left(text, F.greatest(F.lit(1), F.floor(n * x).cast("int"))) for x in u[:2]]
     within = F.floor(F.length(text) * u[2] * 0.8).cast("int")
     trap = F.regexp_extract(F.substring(text, within + 1, F.length(text)), _TRAPS, 1)
-    at = F.get(F.filter("_limits", lambda x: F.map_from_arrays(F.array(*map(F.lit, _measures(F.col(text)))), F.array(*_measures(F.col(text)).values()))[x["_measure"]] > x["_limit"]), F.lit(0))
+    size = _measures(F.col(text))
+    least = {m: F.array_min(f"_limits_{m}") for m in _MEASURES}
+    at = F.coalesce(*(F.when(size[m] > least[m], F.lit(m)) for m in ("words", "chars", "bytes")))
     to_limit = (
-        F.when(at["_measure"] == "words", F.call_function("substring_index", F.col(text), F.lit(" "), at["_limit"]))
-        .when(at["_measure"] == "bytes", F.regexp_replace(F.make_valid_utf8(F.substring(F.col(text).cast("binary"), F.lit(1), at["_limit"]).cast("string")), "\ufffd+$", ""))
-        .otherwise(F.left(text, at["_limit"]))
+        F.when(at == "words", F.call_function("substring_index", F.col(text), F.lit(" "), least["words"]))
+        .when(at == "bytes", F.regexp_replace(F.make_valid_utf8(F.substring(F.col(text).cast("binary"), F.lit(1), least["bytes"]).cast("string")), "\ufffd+$", ""))
+        .otherwise(F.left(text, least["chars"]))
     )
     cut = lambda c, kind: F.struct(c.alias("text"), F.lit(kind).alias("kind"))
     made = F.array(*(cut(c, "anywhere") for c in anywhere), F.when(trap != "", cut(F.left(text, within + F.length(trap)), "trap")), F.when(at.isNotNull(), cut(to_limit, "limit")))
-    rows = texts.select(record, "_limits", "_fold", F.col(text).alias("_whole"), F.explode(F.array_compact(made)).alias("_cut"))
+    rows = texts.select(record, *(f"_limits_{m}" for m in _MEASURES), "_fold", F.col(text).alias("_whole"), F.explode(F.array_compact(made)).alias("_cut"))
     # a cut between two sentences or lines leaves a complete text: no positive
     shown = F.rtrim(F.col("_cut.text"), F.lit(_BLANKS))
     following = F.substring(F.col("_whole"), F.length("_cut.text") + 1, F.lit(1))
@@ -179,7 +184,7 @@ def fit(df: DataFrame, record: str, source: str, text: str, train_texts: int = T
 
 
 def score(df: DataFrame, fitted: TruncationModel, record: str, source: str, text: str) -> DataFrame:
-    """(record, source, truncated, probability) of every row of ``df``.
+    """Rows (record, source, truncated, probability) for every row of ``df``.
 
     Null texts and texts without a visible character are complete: there is nothing in them that stops.
     """
@@ -187,4 +192,7 @@ def score(df: DataFrame, fitted: TruncationModel, record: str, source: str, text
     hashing = HashingTF(numFeatures=_FEATURES, binary=True, inputCol="_features", outputCol="features")
     featured = hashing.transform(with_features(rows, text, _at_limit(F.col(text))).withColumn("_empty", F.length(F.trim(F.col(text), F.lit(_BLANKS))) == 0))
     probability = F.when(F.col("_empty"), F.lit(0.0)).otherwise(vector_to_array("probability")[1])
-    return fitted.model.transform(featured.select(record, source, "_empty", "features")).select(record, source, (probability > 0.5).alias("truncated"), probability.alias("probability"))
+    scored = fitted.model.transform(featured.select(record, source, "_empty", "features"))
+    # never NaN, so rand() is never drawn; but the optimizer leaves such a column where it is, while it would
+    # put a filter on a plain one below all projections and repeat their expressions there many times over
+    return scored.select(record, source, F.nanvl(probability, F.rand(0)).alias("probability")).select(record, source, (F.col("probability") > 0.5).alias("truncated"), "probability")
