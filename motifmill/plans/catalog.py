@@ -1,6 +1,6 @@
 """All core queries by name, and their SQL."""
 
-from motifmill.plans import problems
+from motifmill.plans import problems, repeats
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**repeats.QUERIES, **problems.QUERIES}
+SQL = {**repeats.SQL, **problems.SQL}

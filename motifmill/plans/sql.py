@@ -1,6 +1,6 @@
 """SQL fragments that several oracle queries share (DuckDB dialect, written independently of the Spark code)."""
 
-_CLEAN = "nullif(upper(trim(motif, ' ' || chr(9) || chr(10) || chr(13))), '')"
+CLEAN_SQL = "nullif(upper(trim(motif, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
 
 def root_sql(text: str) -> str:
@@ -13,4 +13,4 @@ def rotation_sql(text: str) -> str:
     return f"list_min(list_transform(range(1, length({text}) + 1), lambda i: substring({text}, i) || left({text}, CAST(i - 1 AS BIGINT))))"
 
 
-CANONICAL_SQL = f"(SELECT {rotation_sql('r')} FROM (SELECT {root_sql('c')} AS r FROM (SELECT {_CLEAN} AS c)))"
+CANONICAL_SQL = f"(SELECT {rotation_sql('r')} FROM (SELECT {root_sql('c')} AS r FROM (SELECT {CLEAN_SQL} AS c)))"
