@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 TRAIN_TEXTS = 12_000
 #: Weights in the fit: given texts, cuts, and cuts behind points that end nothing.
 WEIGHTS = {"given": 1.0, "cut": 1.0, "trap": 0.2}
-_FEATURES = 1 << 16
+_FEATURES = 1 << 15
 _BLANKS = " \t\r\n　"
 #: What a cut or its clean-up leaves behind, as it stands at the end of a text.
 _MARKS = r"(?:\.{3,}|…+|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|�+|&[A-Za-z#0-9]{0,6}|<[A-Za-z/]{0,8})$"
@@ -170,11 +170,12 @@ def fit(df: DataFrame, record: str, source: str, text: str, train_texts: int = T
     given = texts.select(text, "_fold", _at_limit(F.col(text)).alias("_at"), F.lit(0.0).alias("label"), F.lit(WEIGHTS["given"]).alias("_weight"))
     made = given.unionByName(_cuts(texts, record, text, seed)).withColumn("_doubtful", (F.col("label") == 0) & (F.col("_at") != "no"))
     data = hashing.transform(with_features(made, text, F.col("_at"))).select("features", "label", "_fold", "_doubtful", "_weight").persist()
-    regression = LogisticRegression(regParam=3e-3, maxIter=30, weightCol="_weight")
+    regression = LogisticRegression(regParam=3e-3, maxIter=25, weightCol="_weight")
+    screen = regression.copy({regression.maxIter: 12})
     # a text that looks cut to a model that has not seen it is no example of an intact one
     clean = None
     for k in (0, 1):
-        other = regression.fit(data.where((F.col("_fold") != k) & ~F.col("_doubtful")))
+        other = screen.fit(data.where((F.col("_fold") != k) & ~F.col("_doubtful")))
         kept = other.transform(data.where(F.col("_fold") == k)).where((F.col("label") == 1) | (vector_to_array("probability")[1] < 0.5)).select("features", "label", "_weight")
         clean = kept if clean is None else clean.unionByName(kept)
     model = regression.fit(clean)
