@@ -13,7 +13,7 @@ from motifmill.functions.motifs import canonical_motif, clean_motif, is_lyndon,
 from motifmill.operators import index, tiers
 from motifmill.operators.kmers import sequences
 from motifmill.plans.sql import CANONICAL_SQL, CLEAN_SQL, root_sql
-from motifmill.sources.formats import lines, longest
+from motifmill.sources.formats import BED_HEADER, VCF_HEADER, lines, longest
 from motifmill.sources.tables import table
 
 TOP = 20
@@ -347,6 +347,44 @@ calls AS (
   SELECT read_idx, win_start, seq_ord, ref_start AS start, ref_start + length(motif) * copies AS "end", motif, CAST(copies AS DOUBLE) AS copies, CAST(length(motif) * copies AS BIGINT) AS length, 3 AS tier, CAST(confidence AS DOUBLE) AS confidence
   FROM periodic JOIN hits USING (anchor)
 )"""
+_BWT = f"""{_SUFFIXES},
+rows AS (SELECT seq_ord, m, rank, p, t, CASE WHEN p = 0 THEN '$' ELSE substring(t, p, 1) END AS ch FROM suffixes),
+totals AS (SELECT seq_ord, ch, count(*) AS total FROM rows GROUP BY ALL),
+lesser AS (SELECT *, CAST(coalesce(sum(total) OVER (PARTITION BY seq_ord ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cumulative FROM totals)"""
+
+
+def _lcp_sql() -> str:
+    """Halving steps: at each width, go on by it where the next characters agree."""
+    steps, previous = [], "CAST(0 AS BIGINT)"
+    for i, width in enumerate(1 << b for b in range(12, -1, -1)):
+        steps.append(f"LATERAL (SELECT {previous} + CASE WHEN length(x) >= {previous} + {width} AND substring(x, {previous} + 1, {width}) = substring(y, {previous} + 1, {width}) THEN {width} ELSE 0 END AS l{i})")
+        previous = f"l{i}"
+    return f"""{_SUFFIXES},
+pairs AS (SELECT seq_ord, rank, p AS pos, x, coalesce(lag(x) OVER (PARTITION BY seq_ord ORDER BY rank), '') AS y FROM (SELECT seq_ord, rank, p, substring(t, p + 1, 8192) AS x FROM suffixes)),
+lcps AS (SELECT seq_ord, rank, pos, {previous} AS lcp FROM pairs, {", ".join(steps)})"""
+
+
+_LCP = _lcp_sql()
+_PLATEAUS = f"""{_LCP},
+levels AS (SELECT seq_ord, greatest(10, least(1000, max(lcp), 20)) AS threshold FROM lcps GROUP BY seq_ord HAVING max(lcp) >= 10),
+high AS (SELECT seq_ord, threshold, rank, pos, rank - row_number() OVER (PARTITION BY seq_ord ORDER BY rank) AS island FROM lcps JOIN levels USING (seq_ord) WHERE lcp >= threshold),
+plateaus AS (SELECT seq_ord, threshold, min(rank) AS first_rank, max(rank) AS last_rank FROM high GROUP BY seq_ord, threshold, island)"""
+_MERGED_CALLS = f"""{_CALLS},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY seq_ord ORDER BY start, "end", read_idx, win_start) AS nth FROM calls),
+merging AS (
+  SELECT seq_ord, nth, 1 AS grp, start, "end", motif, copies, confidence FROM ordered WHERE nth = 1
+  UNION ALL
+  SELECT m.seq_ord, o.nth, m.grp + CASE WHEN same THEN 0 ELSE 1 END, CASE WHEN same THEN least(m.start, o.start) ELSE o.start END, CASE WHEN same THEN greatest(m."end", o."end") ELSE o."end" END,
+    o.motif, CASE WHEN same THEN (m.copies + o.copies) / 2 ELSE o.copies END, CASE WHEN same THEN least(m.confidence, o.confidence) ELSE o.confidence END
+  FROM merging m JOIN ordered o ON o.seq_ord = m.seq_ord AND o.nth = m.nth + 1, LATERAL (SELECT o.start <= m."end" AND o.motif = m.motif AS same)
+),
+merged AS (SELECT * FROM merging QUALIFY nth = max(nth) OVER (PARTITION BY seq_ord, grp))"""
+
+
+def _lines_sql(order: str, fields: str, header: list[str], top: int | None = None) -> str:
+    body = f"SELECT seq_ord, no AS line_no, {fields} AS line FROM (SELECT *, row_number() OVER (PARTITION BY seq_ord ORDER BY {order}) - 1 AS no FROM both_tiers)" + (f" WHERE no < {top}" if top else "")
+    return f"{_BOTH} {_with_header(body, header)}"
+
 
 SQL = {
     "sequence_stats": "SELECT seq_ord, chrom, coalesce(length(seq), 0) AS n_bases, " + ", ".join(f"coalesce(length(seq) - length(replace(upper(seq), '{b}', '')), 0) AS n_{b.lower()}" for b in "ACGTN") + " FROM fasta",
@@ -360,6 +398,21 @@ SQL = {
     "suffix_array": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes",
     "bwt": f"{_SUFFIXES} SELECT seq_ord, rank, CASE WHEN p = 0 THEN '$' ELSE substring(t, p, 1) END AS ch FROM suffixes",
     "sampled_sa": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes WHERE rank % 32 = 0",
+    "occ_rank": f"{_BWT} SELECT seq_ord, rank, ch, occ, cumulative + occ AS lf FROM (SELECT seq_ord, rank, ch, row_number() OVER (PARTITION BY seq_ord, ch ORDER BY rank) - 1 AS occ FROM rows) JOIN lesser USING (seq_ord, ch)",
+    "occ_checkpoints": f"""{_BWT},
+grid AS (SELECT seq_ord, ch, least(b * 128, m) AS prefix FROM (SELECT seq_ord, m, unnest(range(0, (m + 127) // 128 + 1)) AS b FROM (SELECT DISTINCT seq_ord, m FROM rows)) JOIN totals USING (seq_ord)),
+running AS (SELECT seq_ord, ch, rank + 1 AS prefix, count(*) OVER (PARTITION BY seq_ord, ch ORDER BY rank) AS occ FROM rows)
+SELECT g.seq_ord, g.ch, g.prefix, coalesce(r.occ, 0) AS occ FROM grid g ASOF LEFT JOIN running r ON g.seq_ord = r.seq_ord AND g.ch = r.ch AND g.prefix >= r.prefix""",
+    "sa_interval": f"{_SUFFIXES} SELECT seq_ord, motif, min(rank) AS first_rank, max(rank) AS last_rank FROM (SELECT seq_ord, rank, substring(t, p + 1, 6) AS w FROM suffixes), motif_dictionary WHERE length(w) >= k AND left(w, CAST(k AS BIGINT)) = motif GROUP BY seq_ord, motif",
+    "lcp_array": f"{_LCP} SELECT * FROM lcps",
+    "lcp_plateaus": f"{_PLATEAUS} SELECT * FROM plateaus",
+    "sa_progressions": f"""{_PLATEAUS},
+members AS (SELECT h.*, first_rank FROM high h JOIN plateaus f ON h.seq_ord = f.seq_ord AND h.rank BETWEEN f.first_rank AND f.last_rank),
+marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER w = threshold THEN 0 ELSE 1 END AS new FROM members WINDOW w AS (PARTITION BY seq_ord, first_rank ORDER BY pos)),
+chained AS (SELECT *, sum(new) OVER (PARTITION BY seq_ord, first_rank ORDER BY pos) AS chain FROM marked),
+counted AS (SELECT *, row_number() OVER (PARTITION BY seq_ord, first_rank, chain ORDER BY pos DESC) AS copies FROM chained)
+SELECT c.seq_ord, pos AS start, pos + copies * threshold AS "end", substring(s || '$', pos + 1, threshold) AS motif, CAST(copies AS DOUBLE) AS copies, copies * threshold AS length
+FROM counted c JOIN texts USING (seq_ord) WHERE copies >= 2""",
     "tier1_str": f"WITH {_TEXTS}, {_tier1_sql(True)} SELECT {_COLUMNS} FROM t1",
     "tier1_unfiltered_runs": f"WITH {_TEXTS}, {_tier1_sql(False)} SELECT {_COLUMNS} FROM t1",
     "tier2_runs": f"WITH {_TEXTS}, {_TIER2_RUNS} SELECT seq_ord, CAST(p AS INTEGER) AS p, a, z, seed FROM t2_seeds",
@@ -368,7 +421,11 @@ SQL = {
     "window_periodicity": f"{_SCORED} SELECT * FROM periodic",
     "anchor_map": f"{_CALLS} SELECT seq_ord, anchor, ref_start FROM hits",
     "tier3_calls": f"{_CALLS} SELECT * FROM calls",
+    "tier3_consolidated": f"""{_MERGED_CALLS.replace("WITH reads", "WITH RECURSIVE reads", 1)}
+SELECT seq_ord, chrom, start, "end", motif, copies, CAST("end" - start AS BIGINT) AS length, 3 AS tier, confidence FROM merged JOIN seqs USING (seq_ord)""",
     "all_repeats": f"{_BOTH} SELECT {_COLUMNS} FROM both_tiers",
     "tier_summary": f"{_BOTH} SELECT seq_ord, chrom, tier, count(*) AS n_repeats, CAST(sum(length) AS BIGINT) AS repeat_bases FROM both_tiers GROUP BY ALL",
     "top_repeats_by_length": f"{_BOTH} SELECT {_COLUMNS}, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY seq_ord ORDER BY length DESC, tier, a, b, c) - 1 AS place FROM both_tiers) WHERE place < {TOP}",
+    "bed_lines": _lines_sql("tier, a, b, c", _BED_FIELDS, BED_HEADER),
+    "vcf_lines": _lines_sql("length DESC, tier, a, b, c", _VCF_FIELDS, VCF_HEADER, TOP),
 }
