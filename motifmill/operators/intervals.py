@@ -99,18 +99,18 @@ def _ordinals(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _to_blocks(entity: str, bits: int):
+def _to_blocks(bits: int):
     """Per task: intervals to blocks, thinned and merged, one row for each (entity, region) and flush."""
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).sort_by([(entity, "ascending"), ("region", "ascending")])
-        group, begins = _ordinals(table, [entity, "region"])
+        table = pa.Table.from_batches(held).sort_by([("entity", "ascending"), ("region", "ascending")])
+        group, begins = _ordinals(table, ["entity", "region"])
         owner, level, first = decompose(table.column("s").to_numpy(), table.column("e").to_numpy(), bits)
         first, level = merge_siblings(*uncovered(first + (group[owner] << bits), level), bits)
         codes = ((first & ((1 << bits) - 1)) << _LEVEL_BITS | level).astype(np.int32)
         offsets = np.searchsorted(first >> bits, np.arange(len(begins) + 1)).astype(np.int32)
-        heads = table.take(pa.array(begins)).select([entity, "region"]).combine_chunks()
-        yield pa.RecordBatch.from_arrays([*(heads.column(k).combine_chunks() for k in (entity, "region")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes))], [entity, "region", "blocks"])
+        heads = table.take(pa.array(begins)).select(["entity", "region"]).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(heads.column(k).combine_chunks() for k in ("entity", "region")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes))], ["entity", "region", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -127,12 +127,12 @@ def _to_blocks(entity: str, bits: int):
     return run
 
 
-def _to_periods(entity: str, bits: int):
+def _to_periods(bits: int):
     """Per task: blocks of whole (entity, region) groups to periods, gaps between them, and each region's extent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, [entity, "region"], at_least=2_000):
-            group, begins = _ordinals(table, [entity, "region"])
+        for table in whole_groups(batches, ["entity", "region"], at_least=2_000):
+            group, begins = _ordinals(table, ["entity", "region"])
             blocks = table.column("blocks").combine_chunks()
             codes = blocks.flatten().to_numpy().astype(np.int64)
             of = np.repeat(group, np.diff(blocks.offsets.to_numpy()))
@@ -146,35 +146,34 @@ def _to_periods(entity: str, bits: int):
             heads = np.flatnonzero(np.append(True, run_group[1:] != run_group[:-1]))
             tails = np.append(heads[1:], len(start)) - 1
             edge = ((start & ((1 << bits) - 1)) == 0) | ((end & ((1 << bits) - 1)) == 0)
-            names = table.column(entity).take(pa.array(begins))
+            names = table.column("entity").take(pa.array(begins))
             for kind, owner, s, e in (
                 ("gap", run_group[inner], end[inner], start[inner + 1]),
                 ("extent", run_group[heads], start[heads], end[tails]),
                 ("edge", run_group[edge], start[edge], end[edge]),
                 ("period", run_group[~edge], start[~edge], end[~edge]),
             ):
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(owner)).combine_chunks(), pa.array(np.full(len(s), kind)), pa.array(s, pa.int64()), pa.array(e, pa.int64())], [entity, "kind", "s", "e"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(owner)).combine_chunks(), pa.array(np.full(len(s), kind)), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["entity", "kind", "s", "e"])
 
     return run
 
 
 def coverage_parts(df: DataFrame, entity: str, start: str, end: str, region_bits: int = REGION_BITS) -> DataFrame:
-    """Rows (entity, kind, s, e) from which periods and gaps are read off.
+    """Rows (entity, kind, s, e), the entity as text, from which periods and gaps are read off.
 
     Invalid intervals are left out: a null entity, start or end, or an end not after the start. ``kind`` is
     ``period`` (inside one region), ``edge`` (a period that touches a region's end, perhaps continued in the
     next), ``gap`` (inside one region) or ``extent`` (first covered to last covered position of a region).
     """
     size = 1 << region_bits
-    schema = f"{entity} string, kind string, s bigint, e bigint"
     spans = (
-        df.select(F.col(entity).cast("string").alias(entity), F.col(start).cast("bigint").alias("_a"), F.col(end).cast("bigint").alias("_b"))
-        .where(F.col(entity).isNotNull() & (F.col("_b") > F.col("_a")))
+        df.select(F.col(entity).cast("string").alias("entity"), F.col(start).cast("bigint").alias("_a"), F.col(end).cast("bigint").alias("_b"))
+        .where(F.col("entity").isNotNull() & (F.col("_b") > F.col("_a")))
         .withColumn("region", F.explode(F.sequence(F.expr(f"shiftright(_a, {region_bits})"), F.expr(f"shiftright(_b - 1, {region_bits})"))))
-        .select(entity, "region", F.greatest(F.col("_a") - F.col("region") * size, F.lit(0)).alias("s"), F.least(F.col("_b") - F.col("region") * size, F.lit(size)).alias("e"))
+        .select("entity", "region", F.greatest(F.col("_a") - F.col("region") * size, F.lit(0)).alias("s"), F.least(F.col("_b") - F.col("region") * size, F.lit(size)).alias("e"))
     )
-    blocks = spans.mapInArrow(_to_blocks(entity, region_bits), f"{entity} string, region bigint, blocks array<int>")
-    return blocks.repartition(entity, "region").sortWithinPartitions(entity, "region").mapInArrow(_to_periods(entity, region_bits), schema)
+    blocks = spans.mapInArrow(_to_blocks(region_bits), "entity string, region bigint, blocks array<int>")
+    return blocks.repartition("entity", "region").sortWithinPartitions("entity", "region").mapInArrow(_to_periods(region_bits), "entity string, kind string, s bigint, e bigint")
 
 
 def gaps(df: DataFrame, entity: str, start: str, end: str, min_gap: int = 1, max_gap: int | None = None, region_bits: int = REGION_BITS) -> DataFrame:
@@ -184,9 +183,9 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, min_gap: int = 1, max
     empty table. Touching intervals leave no gap. ``min_gap`` and ``max_gap`` bound the length of a gap.
     """
     parts = coverage_parts(df, entity, start, end, region_bits).persist()
-    before = Window.partitionBy(entity).orderBy("s")
-    between = parts.where("kind = 'extent'").select(entity, F.lag("e").over(before).alias("gap_start"), F.col("s").alias("gap_end"))
-    inner = parts.where("kind = 'gap'").select(entity, F.col("s").alias("gap_start"), F.col("e").alias("gap_end"))
+    before = Window.partitionBy("entity").orderBy("s")
+    between = parts.where("kind = 'extent'").select(F.col("entity").alias(entity), F.lag("e").over(before).alias("gap_start"), F.col("s").alias("gap_end"))
+    inner = parts.where("kind = 'gap'").select(F.col("entity").alias(entity), F.col("s").alias("gap_start"), F.col("e").alias("gap_end"))
     length = F.col("gap_end") - F.col("gap_start")
     found = inner.unionByName(between).where(length >= max(1, min_gap))
     return found if max_gap is None else found.where(length <= max_gap)
@@ -195,13 +194,13 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, min_gap: int = 1, max
 def periods(df: DataFrame, entity: str, start: str, end: str, region_bits: int = REGION_BITS) -> DataFrame:
     """Maximal covered periods (entity, period_start, period_end): overlapping, nested and touching intervals merge."""
     parts = coverage_parts(df, entity, start, end, region_bits).persist()
-    inner = parts.where("kind = 'period'").select(entity, F.col("s").alias("period_start"), F.col("e").alias("period_end"))
-    ordered = Window.partitionBy(entity).orderBy("s")
+    inner = parts.where("kind = 'period'").select(F.col("entity").alias(entity), F.col("s").alias("period_start"), F.col("e").alias("period_end"))
+    ordered = Window.partitionBy("entity").orderBy("s")
     chained = (
         parts.where("kind = 'edge'")
         .withColumn("_new", F.when(F.lag("e").over(ordered) == F.col("s"), 0).otherwise(1))
         .withColumn("_chain", F.sum("_new").over(ordered))
-        .groupBy(entity, "_chain")
+        .groupBy(F.col("entity").alias(entity), "_chain")
         .agg(F.min("s").alias("period_start"), F.max("e").alias("period_end"))
         .drop("_chain")
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from motifmill.session import shuffle_width
 
-ROUTE = "_route"
+ROUTE = "_mm_route"
 _BUCKETS_PER_TASK = 8
 _HEAVY_SHARE = 0.25
 
@@ -37,18 +37,18 @@ class Placement:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.tasks * _BUCKETS_PER_TASK))
 
     def _routed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", self._bucket()).join(F.broadcast(self.heavy), list(self.keys), "left").join(F.broadcast(self.buckets), "_bucket", "left")
+        return df.withColumn("_mm_bucket", self._bucket()).join(F.broadcast(self.heavy), list(self.keys), "left").join(F.broadcast(self.buckets), "_mm_bucket", "left")
 
     def fragment(self, df: DataFrame, spread: Column) -> DataFrame:
-        """``df`` with the task of each row in ``_route``; rows of a heavy key go to its shards by the hash of ``spread``."""
-        shard = F.get(F.col("_shards"), F.pmod(F.xxhash64(spread), F.size("_shards")).cast("int"))
-        light = F.coalesce(F.col("_task"), F.pmod(F.col("_bucket"), F.lit(self.tasks)).cast("int"))
-        return self._routed(df).withColumn(ROUTE, F.when(F.col("_shards").isNotNull(), shard).otherwise(light)).drop("_shards", "_task", "_bucket").repartitionById(self.tasks, ROUTE)
+        """``df`` with the task of each row in ``_mm_route``; rows of a heavy key go to its shards by the hash of ``spread``."""
+        shard = F.get(F.col("_mm_shards"), F.pmod(F.xxhash64(spread), F.size("_mm_shards")).cast("int"))
+        light = F.coalesce(F.col("_mm_task"), F.pmod(F.col("_mm_bucket"), F.lit(self.tasks)).cast("int"))
+        return self._routed(df).withColumn(ROUTE, F.when(F.col("_mm_shards").isNotNull(), shard).otherwise(light)).drop("_mm_shards", "_mm_task", "_mm_bucket").repartitionById(self.tasks, ROUTE)
 
     def replicate(self, df: DataFrame) -> DataFrame:
         """The matching side: one copy of a row for each task that holds a shard of its key."""
-        light = F.coalesce(F.col("_task"), F.pmod(F.col("_bucket"), F.lit(self.tasks)).cast("int"))
-        return self._routed(df).withColumn(ROUTE, F.explode(F.coalesce(F.array_distinct("_shards"), F.array(light)))).drop("_shards", "_task", "_bucket").repartitionById(self.tasks, ROUTE)
+        light = F.coalesce(F.col("_mm_task"), F.pmod(F.col("_mm_bucket"), F.lit(self.tasks)).cast("int"))
+        return self._routed(df).withColumn(ROUTE, F.explode(F.coalesce(F.array_distinct("_mm_shards"), F.array(light)))).drop("_mm_shards", "_mm_task", "_mm_bucket").repartitionById(self.tasks, ROUTE)
 
 
 def pack(loads: list[tuple[object, float]], tasks: int) -> tuple[list[int], list[float]]:
@@ -77,18 +77,18 @@ def place(df: DataFrame, keys: list[str], total_rows: int, tasks: int | None = N
     fair = max(1.0, total_rows / tasks)
     heavy_from = max(1.0, fair * _HEAVY_SHARE)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(tasks * _BUCKETS_PER_TASK))
-    loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_load")).withColumn("_big", F.col("_load") >= heavy_from)
+    loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_mm_load")).withColumn("_mm_big", F.col("_mm_load") >= heavy_from)
     units = loads.groupBy(
-        F.when(~F.col("_big"), bucket).alias("_bucket"),
-        *[F.when(F.col("_big"), F.col(k)).alias(k) for k in keys],
-    ).agg(F.sum("_load").alias("_load"))
+        F.when(~F.col("_mm_big"), bucket).alias("_mm_bucket"),
+        *[F.when(F.col("_mm_big"), F.col(k)).alias(k) for k in keys],
+    ).agg(F.sum("_mm_load").alias("_mm_load"))
     items: list[tuple[object, float]] = []
     for row in units.collect():  # bounded: buckets + heavy keys
-        if row["_bucket"] is not None:
-            items.append((int(row["_bucket"]), float(row["_load"])))
+        if row["_mm_bucket"] is not None:
+            items.append((int(row["_mm_bucket"]), float(row["_mm_load"])))
         else:
-            shards = math.ceil(row["_load"] / fair)
-            items.extend((tuple(row[k] for k in keys), row["_load"] / shards) for _ in range(shards))
+            shards = math.ceil(row["_mm_load"] / fair)
+            items.extend((tuple(row[k] for k in keys), row["_mm_load"] / shards) for _ in range(shards))
     where, totals = pack(items, tasks)
     heavy: dict[tuple, list[int]] = {}
     buckets = []
@@ -102,8 +102,8 @@ def place(df: DataFrame, keys: list[str], total_rows: int, tasks: int | None = N
     return Placement(
         tuple(keys),
         tasks,
-        spark.createDataFrame([(*k, t) for k, t in heavy.items()], f"{key_types}, _shards array<int>"),
-        spark.createDataFrame(buckets, "_bucket bigint, _task int"),
+        spark.createDataFrame([(*k, t) for k, t in heavy.items()], f"{key_types}, _mm_shards array<int>"),
+        spark.createDataFrame(buckets, "_mm_bucket bigint, _mm_task int"),
         tuple(totals),
     )
 
