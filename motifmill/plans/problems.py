@@ -77,7 +77,7 @@ flagged AS (
   SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
   FROM valid
 ),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM flagged),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY s, e, new DESC ROWS UNBOUNDED PRECEDING) AS grp FROM flagged),
 merged AS (SELECT chrom, min(s) AS period_start, max(e) AS period_end FROM numbered GROUP BY chrom, grp)"""
 
 SQL = {
