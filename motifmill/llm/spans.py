@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from motifmill.operators.kmers import kmer_hashes
+
 _CHUNK = 1 << 20
 _POS_BITS = np.uint64(22)
 #: 2-bit codes of the four bases; every other character ends a stretch.
@@ -11,38 +13,6 @@ _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _CODE[_c + 32] = _i
 _SYMBOL = np.random.default_rng(20).integers(1, 1 << 63, size=5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_M64 = (1 << 64) - 1
-
-
-def kmer_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of every k-mer, by doubling: a hash of length a + b is made of those of lengths a and b."""
-    n = len(codes) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    power, length, part = _BASE, 1, _SYMBOL[codes]
-    whole, done = None, 0
-    bits = k
-    while True:
-        if bits & 1:
-            if whole is None:
-                whole, done = part, length
-            else:
-                m = len(codes) - done - length + 1
-                whole = whole[:m] * np.uint64(pow(_BASE, length, 1 << 64)) + part[done : done + m]
-                done += length
-        bits >>= 1
-        if not bits:
-            break
-        m = len(part) - length
-        part = part[:m] * np.uint64(power) + part[length : length + m]
-        length *= 2
-        power = pow(_BASE, length, 1 << 64)
-    h = whole[:n].copy()
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +39,7 @@ def anchors(seq: bytes, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
         clean = (bad[span:] - bad[:-span]) == 0
         if not clean.any():
             continue
-        h = kmer_hashes(part, k)
+        h = kmer_hashes(_SYMBOL[part], k)
         keyed = (h & ~np.uint64((1 << int(_POS_BITS)) - 1)) | np.arange(len(h), dtype=np.uint64)
         chosen = np.unique(sliding_min(keyed, width)[clean] & np.uint64((1 << int(_POS_BITS)) - 1)).astype(np.int64)
         positions.append(chosen + at)
