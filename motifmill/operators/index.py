@@ -1,10 +1,10 @@
 """Full-text index of each sequence as tables: suffix array, BWT, counts, ranks, intervals, LCP.
 
 Every sequence is indexed with one '$' at its end. Suffixes are ranked by their first 32 characters, then ties are
-broken by prefix doubling: the ranks of the suffixes that begin 32, 64, 128, ... characters later. Only tied
-suffixes take part in a round, each round works on (sequence, tied rank) groups, and the first ranking is cut by
-(sequence, first characters), so no task sorts a whole sequence. A round's table is written to the checkpoint
-folder, which also cuts its lineage.
+broken by prefix doubling: the ranks of the suffixes that begin 32, 64, 128, ... characters later. A round reads
+and writes tied suffixes only, in (sequence, tied rank) groups, and looks later ranks up in a table that lies
+partitioned for that; the first ranking is cut by (sequence, first characters). No task sorts a whole sequence.
+What a round finds is written to the checkpoint folder, which also cuts its lineage.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def char_counts(texts: DataFrame) -> DataFrame:
 
 def _suffix_keys(texts: DataFrame) -> DataFrame:
     """(seq_ord, pos, key, before): the first characters of each suffix, and the character before it ('$' for the first)."""
-    rows = chunks(texts, PREFIX, 2048)
+    rows = chunks(texts, PREFIX, 256)
     at = F.col("_at")
     before = F.when(at > 0, F.substring("chunk", at, F.lit(1))).when(F.col("left") != "", F.col("left")).otherwise(F.lit("$"))
     return rows.select("seq_ord", "base", "chunk", "left", F.explode(F.sequence(F.lit(0), F.col("body_len") - 1)).alias("_at")).select("seq_ord", (F.col("base") + at).alias("pos"), F.substring("chunk", at + 1, F.lit(PREFIX)).alias("key"), before.alias("before"))
@@ -44,8 +44,8 @@ def _suffix_keys(texts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SuffixArray:
-    """``table``: (seq_ord, rank, pos, ch, key) with the BWT character ``ch``. ``levels``: ranks by the first
-    ``width`` characters, for each width, ties sharing a rank."""
+    """``table``: (seq_ord, rank, pos, ch, key) with the BWT character ``ch``. ``levels``: for each width, the
+    ranks (seq_ord, pos, rank) by the first ``width`` characters, ties sharing a rank."""
 
     table: DataFrame
     levels: list[tuple[int, DataFrame]]
@@ -53,31 +53,35 @@ class SuffixArray:
 
 def build(seqs: DataFrame) -> SuffixArray:
     """The suffix array of every sequence (an empty one has the suffix '$' alone)."""
-    texts = indexed_text(seqs)
-    keys = _suffix_keys(texts).withColumn("_bucket", F.left("key", F.lit(_BUCKET)))
+    keys = _suffix_keys(indexed_text(seqs)).withColumn("_bucket", F.left("key", F.lit(_BUCKET)))
     sizes = keys.groupBy("seq_ord", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(Window.partitionBy("seq_ord").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    inside = F.rank().over(Window.partitionBy("seq_ord", "_bucket").orderBy("key")) - 1
-    ranked = keys.withColumn("_inside", inside).join(offsets, ["seq_ord", "_bucket"]).select("seq_ord", "pos", (F.col("_offset") + F.col("_inside")).cast("bigint").alias("rank"), "key", "before")
-    current, width = checkpointed(ranked), PREFIX
-    details = current.select("seq_ord", "pos", "key", "before")
-    levels = [(width, current.select("seq_ord", "pos", "rank"))]
-    while True:
-        ranks = levels[-1][1]
-        tied = ranks.join(ranks.groupBy("seq_ord", "rank").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), ["seq_ord", "rank"])
-        if tied.isEmpty():
-            break
-        later = ranks.select("seq_ord", (F.col("pos") - width).alias("pos"), F.col("rank").alias("_later"))
-        broken = (
-            tied.join(later, ["seq_ord", "pos"], "left")
-            .withColumn("_step", F.rank().over(Window.partitionBy("seq_ord", "rank").orderBy(F.asc_nulls_first("_later"))) - 1)
-            .select("seq_ord", "pos", (F.col("rank") + F.col("_step")).cast("bigint").alias("_new"))
-        )
-        merged = ranks.join(broken, ["seq_ord", "pos"], "left").select("seq_ord", "pos", F.coalesce("_new", "rank").alias("rank"))
+    inside = Window.partitionBy("seq_ord", "_bucket").orderBy("key")
+    ranked = keys.withColumn("_inside", F.rank().over(inside) - 1).withColumn("_ties", F.count(F.lit(1)).over(inside.rangeBetween(0, 0)))
+    base = checkpointed(ranked.join(offsets, ["seq_ord", "_bucket"]).select("seq_ord", "pos", (F.col("_offset") + F.col("_inside")).cast("bigint").alias("rank"), "key", F.col("before").alias("ch"), "_ties"))
+    first = base.select("seq_ord", "pos", "rank").repartition("seq_ord", "pos").persist()
+    tied, width, levels, settled, latest = base.where("_ties > 1").select("seq_ord", "pos", "rank"), PREFIX, [(PREFIX, first)], [], None
+    while not tied.isEmpty():
+        at = tied.withColumn("_next", F.col("pos") + width)
+        later = at.join(first.select("seq_ord", F.col("pos").alias("_next"), F.col("rank").alias("_later")), ["seq_ord", "_next"], "left")
+        if latest is not None:
+            later = later.join(latest.select("seq_ord", F.col("pos").alias("_next"), F.col("rank").alias("_newer")), ["seq_ord", "_next"], "left").withColumn("_later", F.coalesce("_newer", "_later"))
+        group = Window.partitionBy("seq_ord", "rank").orderBy(F.asc_nulls_first("_later"))
+        broken = later.withColumn("_step", F.rank().over(group) - 1).withColumn("_ties", F.count(F.lit(1)).over(group.rangeBetween(0, 0)))
+        found = checkpointed(broken.select("seq_ord", "pos", (F.col("rank") + F.col("_step")).cast("bigint").alias("rank"), "_ties"))
+        latest = found.select("seq_ord", "pos", "rank")
+        for earlier in settled:
+            latest = latest.unionByName(earlier)
+        settled.append(found.where("_ties = 1").select("seq_ord", "pos", "rank"))
+        tied = found.where("_ties > 1").select("seq_ord", "pos", "rank")
         width *= 2
-        levels.append((width, checkpointed(merged)))
-    final = levels[-1][1].join(details, ["seq_ord", "pos"]).select("seq_ord", "rank", "pos", F.col("before").alias("ch"), "key")
-    return SuffixArray(final, levels)
+        levels.append((width, _overridden(first, latest)))
+    final = base.select("seq_ord", "pos", "rank", "ch", "key") if latest is None else _overridden(base.select("seq_ord", "pos", "rank", "ch", "key"), latest)
+    return SuffixArray(final.select("seq_ord", "rank", "pos", "ch", "key"), levels)
+
+
+def _overridden(ranks: DataFrame, newer: DataFrame) -> DataFrame:
+    return ranks.join(newer.withColumnRenamed("rank", "_newer"), ["seq_ord", "pos"], "left").withColumn("rank", F.coalesce("_newer", "rank")).drop("_newer")
 
 
 def suffix_array(seqs: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def chunks(seqs: DataFrame, halo: int, size: int = CHUNK, keep: tuple[str, ...]
     )
 
 
-def kmers(seqs: DataFrame, k_from: int, k_to: int, size: int = 2048, keep: tuple[str, ...] = ("seq_ord",)) -> DataFrame:
+def kmers(seqs: DataFrame, k_from: int, k_to: int, size: int = 256, keep: tuple[str, ...] = ("seq_ord",)) -> DataFrame:
     """(keep..., pos, k, kmer): every k-mer of every length from ``k_from`` to ``k_to``."""
     rows = chunks(seqs, k_to, size, keep)
     return (
