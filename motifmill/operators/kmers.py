@@ -14,29 +14,29 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def kmer_hashes(values: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
-    """64-bit hash of every k-mer of ``values`` (uint64, one random number a symbol).
+    """64-bit hash of every k-mer along the last axis of ``values`` (uint64, one random number a symbol).
 
     Made by doubling: the hash of length a + b is made of those of lengths a and b.
     """
-    n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
+    size = values.shape[-1]
+    if size < k:
+        return np.zeros((*values.shape[:-1], 0), dtype=np.uint64)
     whole, done, part, length, bits = None, 0, values, 1, k
     while True:
         if bits & 1:
             if whole is None:
                 whole, done = part, length
             else:
-                m = len(values) - done - length + 1
-                whole = whole[:m] * np.uint64(pow(base, length, 1 << 64)) + part[done : done + m]
+                m = size - done - length + 1
+                whole = whole[..., :m] * np.uint64(pow(base, length, 1 << 64)) + part[..., done : done + m]
                 done += length
         bits >>= 1
         if not bits:
             break
-        m = len(part) - length
-        part = part[:m] * np.uint64(pow(base, length, 1 << 64)) + part[length : length + m]
+        m = part.shape[-1] - length
+        part = part[..., :m] * np.uint64(pow(base, length, 1 << 64)) + part[..., length : length + m]
         length *= 2
-    h = whole[:n].copy()
+    h = whole[..., : size - k + 1].copy()
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
