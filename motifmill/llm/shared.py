@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifmill.llm.spans import anchors
+from motifmill.llm.spans import anchors, window_fingerprints
 from motifmill.operators.intervals import periods
+from motifmill.session import checkpointed
 
 
 def _pack(codes: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def _representatives(df: DataFrame, classes: DataFrame, record: str) -> DataFram
 
 def sharing_classes(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """Pairs (record_a, record_b) of representatives that share a stretch, and the membership of all records."""
-    classes = exact_classes(df, record, text)
+    classes = exact_classes(df, record, text).persist()
     # a maximal match begins within reach of its first seed: that seed alone reports the pair
     pairs = seed_matches(_representatives(df, classes, record), record, text, span, k).where("first").select("record_a", "record_b").distinct()
     return pairs, classes
@@ -151,15 +152,54 @@ def maximal_spans(df: DataFrame, record: str, text: str, span: int = 100, k: int
     )
 
 
+def _stretches(span: int, k: int):
+    """Per seed: (w1, w2, record, start) of every clean stretch of ``span`` bases that holds the seed."""
+    reach = span - k
+    before = reach + 1
+    width = -(-(before + k + reach) // 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                record, pos, left, right = (part.column(i).to_numpy() for i in range(4))
+                codes = _unpack(np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint8).reshape(-1, width))[:, : before + k + reach]
+                w1, w2 = window_fingerprints(codes, span)
+                shift = np.arange(w1.shape[1])  # the stretch begins at pos - before + shift
+                good = (before - shift[None, :] <= left[:, None]) & (shift[None, :] - 1 <= right[:, None]) & (shift[None, :] >= 1)
+                row, column = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([pa.array(w1[good]), pa.array(w2[good]), pa.array(record[row]), pa.array(pos[row] - before + column)], ["w1", "w2", "record", "start"])
+
+    return run
+
+
+def shared_stretches(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
+    """(record, start) of every stretch of ``span`` bases that another record has too.
+
+    Nothing is paired: a stretch is shared if its 128-bit fingerprint occurs in two records, so a stretch that a
+    third of all records hold costs no more than as many others. Only seeds found in two records are looked into.
+    """
+    rows = df.where(F.length(text) >= span).select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text"))
+    seeds = rows.mapInArrow(_seeds(span, k), "anchor bigint, record bigint, pos bigint, left int, right int, around binary")
+
+    def in_two_records(table: DataFrame, *keys: str) -> DataFrame:
+        spread = table.groupBy(*keys).agg(F.min("record").alias("_least"), F.max("record").alias("_most"))  # combined on the map side
+        return table.join(spread.where("_least < _most").select(*keys), list(keys), "left_semi")
+
+    common = checkpointed(in_two_records(seeds, "anchor").select("record", "pos", "left", "right", "around"))  # few, and read twice
+    stretches = common.mapInArrow(_stretches(span, k), "w1 bigint, w2 bigint, record bigint, start bigint")
+    return in_two_records(stretches, "w1", "w2").select("record", "start")
+
+
 def shared_bases(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
     """(record, n_bases, shared_bases): for each record the bases in stretches that also occur in another record.
 
     Every record comes out; null and empty texts have 0 of 0 bases. A record with exact copies shares all its
     clean stretches of ``span`` or more bases.
     """
-    classes = exact_classes(df, record, text)
-    found = seed_matches(_representatives(df, classes, record), record, text, span, k)
-    covered = found.select(F.inline(F.array(*(F.struct(F.col(f"record_{s}").cast("string").alias("owner"), F.col(f"start_{s}").alias("s"), (F.col(f"start_{s}") + F.col("bases")).alias("e")) for s in "ab"))))
+    classes = exact_classes(df, record, text).persist()
+    found = shared_stretches(_representatives(df, classes, record), record, text, span, k)
+    covered = found.select(F.col("record").cast("string").alias("owner"), F.col("start").alias("s"), (F.col("start") + span).alias("e"))
     by_match = periods(covered, "owner", "s", "e").groupBy("owner").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("_matched"))
     copies = classes.groupBy("representative").agg(F.count(F.lit(1)).alias("_copies"))
     clean = F.aggregate(F.regexp_extract_all(F.upper(text), F.lit(f"([ACGT]{{{span},}})"), F.lit(1)), F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))

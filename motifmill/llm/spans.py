@@ -24,6 +24,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def window_fingerprints(codes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every stretch of ``span`` bases along the rows of 2-bit ``codes``."""
+    return tuple(kmer_hashes(_SYMBOL[codes] * np.uint64(odd), span, base).view(np.int64) for odd, base in ((1, 0x9E3779B97F4A7C15), (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)))
+
+
 def anchors(seq: bytes, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions and hashes of the k-mers that winnowing selects, and the codes of ``seq``.
 

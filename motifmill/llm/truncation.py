@@ -34,9 +34,9 @@ _TRAPS = r"(?s)^(.*?(?:\n[0-9]+\.|[0-9]\.(?=[0-9])|\b(?:FIG|Fig|fig|FIGS|Figs|e\
 
 @dataclass(frozen=True)
 class TruncationModel:
-    """A fitted model; ``limits`` are the lengths (by source and measure) at which texts are cut."""
+    """A fitted model, none where there was no text to learn from; ``limits`` are the lengths (by source and measure) at which texts are cut."""
 
-    model: LogisticRegressionModel
+    model: LogisticRegressionModel | None
     limits: DataFrame
 
 
@@ -162,7 +162,9 @@ def fit(df: DataFrame, record: str, source: str, text: str, train_texts: int = T
     """Fits the model on about ``train_texts`` texts, chosen by the hash of ``record``, and their cut versions."""
     limits = length_limits(df, source, text).persist()
     rows = df.where(F.length(F.trim(F.col(text), F.lit(_BLANKS))) > 0)
-    n = max(1, rows.count())
+    n = rows.count()
+    if n == 0:
+        return TruncationModel(None, limits)
     keep = F.pmod(F.xxhash64(record, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, train_texts / n) * (1 << 30)))
     fold = F.pmod(F.xxhash64(F.right(F.rtrim(F.col(text), F.lit(_BLANKS)), F.lit(24)), F.lit(seed)), F.lit(2))  # equal endings together
     texts = _with_limits(rows.where(keep).select(record, source, text, fold.alias("_fold")), source, limits).persist()
@@ -173,8 +175,9 @@ def fit(df: DataFrame, record: str, source: str, text: str, train_texts: int = T
     regression = LogisticRegression(regParam=3e-3, maxIter=25, weightCol="_weight")
     screen = regression.copy({regression.maxIter: 12})
     # a text that looks cut to a model that has not seen it is no example of an intact one
-    clean = None
-    for k in (0, 1):
+    given_by_fold = {r["_fold"] for r in data.where("label = 0 and not _doubtful").select("_fold").distinct().collect()}
+    clean = None if given_by_fold == {0, 1} else data.select("features", "label", "_weight")
+    for k in (0, 1) if clean is None else ():
         other = screen.fit(data.where((F.col("_fold") != k) & ~F.col("_doubtful")))
         kept = other.transform(data.where(F.col("_fold") == k)).where((F.col("label") == 1) | (vector_to_array("probability")[1] < 0.5)).select("features", "label", "_weight")
         clean = kept if clean is None else clean.unionByName(kept)
@@ -189,6 +192,8 @@ def score(df: DataFrame, fitted: TruncationModel, record: str, source: str, text
 
     Null texts and texts without a visible character are complete: there is nothing in them that stops.
     """
+    if fitted.model is None:
+        return df.select(record, source, F.lit(False).alias("truncated"), F.lit(0.0).alias("probability"))
     rows = _with_limits(df.select(F.col(record), F.col(source), F.coalesce(F.col(text), F.lit("")).alias(text)), source, fitted.limits)
     hashing = HashingTF(numFeatures=_FEATURES, binary=True, inputCol="_features", outputCol="features")
     featured = hashing.transform(with_features(rows, text, _at_limit(F.col(text))).withColumn("_empty", F.length(F.trim(F.col(text), F.lit(_BLANKS))) == 0))

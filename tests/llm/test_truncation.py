@@ -63,3 +63,10 @@ def test_held_out_texts_are_told_apart(spark, corpus):
     true = {r[0] for r in rest} & cut
     assert not said & {2000, 2001, 2002}
     assert len(said & true) / len(true) > 0.93 and len(said & true) / len(said) > 0.93
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, "")], [(1, "a", "", ""), (2, "a", "One full sentence stands here.", "")]])
+def test_hardly_any_text(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, source string, text string, label string")
+    found = score(df, fit(df, "id", "source", "text"), "id", "source", "text").collect()
+    assert len(found) == len(rows) and not any(r["truncated"] for r in found)
