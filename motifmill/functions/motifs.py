@@ -39,12 +39,16 @@ def is_primitive(text: Column) -> Column:
 
 
 def least_rotation(text: Column) -> Column:
-    """Alphabetically least rotation; '' for '', null for null."""
+    """Alphabetically least rotation; '' for '', null for null.
+
+    Rotations of long upper-case texts that hold an A are only tried where a run of A begins: no other can be least.
+    """
 
     def rotate(t: Column) -> Column:
         whole = F.length(t)
         turned = F.transform(F.sequence(F.lit(1), whole), lambda i: F.concat(F.substring(t, i, whole), F.substring(t, F.lit(1), i - 1)))
-        return F.when(whole <= 1, t).otherwise(F.array_min(turned))
+        from_runs = F.filter(F.regexp_extract_all(F.concat(t, t), F.lit("(?<!A)(?=(A.*))"), F.lit(1)), lambda x: F.length(x) > whole)
+        return F.when(whole <= 1, t).when((whole > 8) & t.rlike("^[B-Z]*A[A-Z]*$"), F.left(F.array_min(from_runs), whole)).otherwise(F.array_min(turned))
 
     return _let(text, rotate)
 
