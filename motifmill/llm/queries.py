@@ -44,21 +44,25 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark is not null").select("motif", "mark")
 
 
-def p4_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One record for each repeat, with the best spelling, tier and confidence and the rows they come from."""
+def _repeat_groups(spark: SparkSession, folder: str, values: bool) -> DataFrame:
     calls = table(spark, folder, "tandem_repeats").select("rec_id", "chrom", canonical_motif(F.col("motif")).alias("canonical"), "start_pos", "end_pos", "motif", "tier", "confidence", "called_at")
     fields = [
-        Field("motif", F.col("motif"), F.lit(True), ((F.col("motif") == F.col("canonical")).cast("int"),)),
-        Field("tier", F.col("tier"), F.col("tier").between(1, 3), (-F.col("tier"),)),
-        Field("confidence", F.col("confidence"), F.col("confidence").between(0, 1), (F.col("confidence"),)),
+        Field("motif", F.col("motif") if values else None, F.lit(True), ((F.col("motif") == F.col("canonical")).cast("int"),)),
+        Field("tier", F.col("tier") if values else None, F.col("tier").between(1, 3), (-F.col("tier"),)),
+        Field("confidence", F.col("confidence") if values else None, F.col("confidence").between(0, 1), (F.col("confidence"),)),
     ]
     return survivors(calls, ["chrom", "canonical"], "start_pos", "end_pos", "rec_id", "called_at", fields)
 
 
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One record for each repeat, with the best spelling, tier and confidence and the rows they come from."""
+    return _repeat_groups(spark, folder, values=True)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of two or more calls of one repeat: the rows that give each field."""
     given = [F.coalesce(F.col(c), F.lit(-1)).cast("bigint").alias(c) for c in ("motif_from", "tier_from", "confidence_from")]
-    return p4_records(spark, folder).where("n_rows > 1").select("first_id", *given)
+    return _repeat_groups(spark, folder, values=False).where("n_rows > 1").select("first_id", *given)
 
 
 

@@ -22,13 +22,20 @@ BLOCK_BITS = 16
 
 @dataclass(frozen=True)
 class Field:
-    """A field to survive: rows where ``usable`` holds compete, greater ``priority`` first."""
+    """A field to survive: rows where ``usable`` holds compete, greater ``priority`` first.
+
+    Without a ``value`` only the row it comes from is told.
+    """
 
     name: str
-    value: Column
+    value: Column | None
     usable: Column
     priority: tuple[Column, ...] = ()
 
+    def candidate(self, timestamp: str, row_id: str) -> Column:
+        value = [] if self.value is None else [self.value.alias("value")]
+        return F.when(self.usable, F.struct(*(p.alias(f"p{i}") for i, p in enumerate(self.priority)), F.col(timestamp).alias("at"), (-F.col(row_id)).alias("neg_id"), *value))
+
 
 def survivors(df: DataFrame, keys: list[str], start: str, end: str, row_id: str, timestamp: str, fields: list[Field], block_bits: int = BLOCK_BITS) -> DataFrame:
     """One row for each duplicate group: keys, ``group_start``, ``group_end``, ``n_rows``, ``first_id`` and, for
@@ -38,7 +45,7 @@ def survivors(df: DataFrame, keys: list[str], start: str, end: str, row_id: str,
     or end, or an end not after the start, belong to no group. Touching intervals are not duplicates. Rows that
     come several times count each time in ``n_rows``. An empty table gives an empty result.
     """
-    best = {f.name: F.when(f.usable, F.struct(*(p.alias(f"p{i}") for i, p in enumerate(f.priority)), F.col(timestamp).alias("at"), (-F.col(row_id)).alias("neg_id"), f.value.alias("value"))) for f in fields}
+    best = {f.name: f.candidate(timestamp, row_id) for f in fields}
     valid = df.where(F.col(end) > F.col(start))
     rows = valid.dropna(subset=keys).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(row_id).alias("_id"), *(c.alias(f"_best_{n}") for n, c in best.items()))
     merge = [F.max(f"_best_{n}").alias(f"_best_{n}") for n in best]
@@ -80,5 +87,6 @@ def survivors(df: DataFrame, keys: list[str], start: str, end: str, row_id: str,
         F.col("_e").alias("group_end"),
         F.col("_n").alias("n_rows"),
         F.col("_first").alias("first_id"),
-        *(c for n in best for c in (F.col(f"_best_{n}.value").alias(n), (-F.col(f"_best_{n}.neg_id")).alias(f"{n}_from"))),
+        *(F.col(f"_best_{f.name}.value").alias(f.name) for f in fields if f.value is not None),
+        *((-F.col(f"_best_{n}.neg_id")).alias(f"{n}_from") for n in best),
     )
