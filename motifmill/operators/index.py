@@ -28,7 +28,7 @@ def indexed_text(seqs: DataFrame) -> DataFrame:
 
 def char_counts(texts: DataFrame) -> DataFrame:
     """(seq_ord, ch, total, cumulative): how often each character is in a text, and how many lesser ones there are."""
-    per_chunk = chunks(texts, 0).select("seq_ord", F.explode(F.split("chunk", "")).alias("ch")).where("ch != ''")
+    per_chunk = chunks(texts, 0, spread=False).select("seq_ord", F.explode(F.split("chunk", "")).alias("ch")).where("ch != ''")
     totals = per_chunk.groupBy("seq_ord", "ch").agg(F.count(F.lit(1)).alias("total"))
     lesser = Window.partitionBy("seq_ord").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn("cumulative", F.coalesce(F.sum("total").over(lesser), F.lit(0)))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifmill.session import shuffle_width
+
 CHUNK = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 
@@ -49,16 +51,17 @@ def sequences(df: DataFrame, seq: str = "seq", keep: tuple[str, ...] = ("seq_ord
     return df.select(*keep, text.alias("seq"), F.length(text).alias("n"))
 
 
-def chunks(seqs: DataFrame, halo: int, size: int = CHUNK, keep: tuple[str, ...] = ("seq_ord",)) -> DataFrame:
+def chunks(seqs: DataFrame, halo: int, size: int = CHUNK, keep: tuple[str, ...] = ("seq_ord",), spread: bool = True) -> DataFrame:
     """(keep..., n, base, body_len, left, chunk): pieces of ``size`` characters with the next ``halo`` ones.
 
     ``left`` is the character before the piece, '' at the start. The text is cut in one pass, so a record of any
-    length costs linear time, and later offsets are within a chunk. Empty records have no chunk.
+    length costs linear time, and later offsets are within a chunk. Empty records have no chunk. With ``spread``
+    the pieces go to all tasks by their place, so that neither few input files nor one long record holds the work up.
     """
     if halo > size:
         raise ValueError("the halo must not be longer than a chunk")
     parts = F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
-    return (
+    cut = (
         seqs.where("n > 0")
         .select(*keep, "n", parts.alias("_parts"))
         .select(*keep, "n", "_parts", F.posexplode("_parts").alias("_no", "_body"))
@@ -71,6 +74,8 @@ def chunks(seqs: DataFrame, halo: int, size: int = CHUNK, keep: tuple[str, ...]
             F.concat("_body", F.coalesce(F.left(F.get("_parts", F.col("_no") + 1), F.lit(halo)), F.lit(""))).alias("chunk"),
         )
     )
+    # a given number, as adaptive execution would merge small but costly partitions again
+    return cut.repartition(shuffle_width(seqs.sparkSession), *keep, "base") if spread else cut
 
 
 def kmers(seqs: DataFrame, k_from: int, k_to: int, size: int = 256, keep: tuple[str, ...] = ("seq_ord",)) -> DataFrame:

@@ -30,22 +30,29 @@ def _find(min_period: int, max_period: int, cap: bool, forbidden: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            numbers: list[tuple[np.ndarray, ...]] = []
+            seeds: list[str] = []
             for owner, n, base, body, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                raw = text.encode("latin-1", "replace")
-                codes = np.frombuffer(raw, dtype=np.uint8)
+                codes = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
                 good = ~bad[codes]
                 for p in range(min_period, min(max_period, max(1, n // 2) if cap else max_period) + 1):
                     m = min(body, len(codes) - p)
                     if m <= 0:
-                        continue
+                        break
                     begin, end = _true_ranges((codes[:m] == codes[p : p + m]) & good[:m])
                     left, right = (begin == 0) & (base > 0), (end == body) & (base + body < n)
-                    for i in np.flatnonzero(((end - begin) >= p) | left | right):
-                        b, e = int(begin[i]), int(end[i])
-                        for column, value in zip(out, (owner, n, p, base + b, base + e, text[b : b + p], bool(left[i]), bool(right[i]))):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], names=["seq_ord", "n", "p", "a", "z", "seed", "open_left", "open_right"])
+                    keep = np.flatnonzero(((end - begin) >= p) | left | right)
+                    if not len(keep):
+                        continue
+                    begin, end = begin[keep], end[keep]
+                    units = codes[begin[:, None] + np.arange(p)].view(f"S{p}").ravel()
+                    seeds += [u.decode("latin-1") for u in units.tolist()]
+                    numbers.append((*(np.full(len(keep), v, dtype=np.int64) for v in (owner, n, p)), base + begin, base + end, left[keep], right[keep]))
+            owner, n, p, a, z, left, right = (np.concatenate(c) for c in zip(*numbers)) if numbers else (np.zeros(0, dtype=np.int64),) * 7
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, (owner, n)), pa.array(p.astype(np.int32)), *map(pa.array, (a, z)), pa.array(seeds, pa.string()), *(pa.array(x.astype(bool)) for x in (left, right))],
+                names=["seq_ord", "n", "p", "a", "z", "seed", "open_left", "open_right"],
+            )
 
     return run
 

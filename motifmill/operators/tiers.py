@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from motifmill.functions.motifs import least_rotation, primitive_root
 from motifmill.operators.kmers import fingerprints, kmer_fingerprints
 from motifmill.operators.runs import period_runs
+from motifmill.session import shuffle_width
 
 REPEAT_COLUMNS = ["seq_ord", "chrom", "start", "end", "motif", "copies", "length", "tier", "confidence"]
 #: Fixed values of the long-read detector: window and step, periods tried, score to pass, anchor length, shortest read.
@@ -104,6 +105,7 @@ def read_windows(reads: DataFrame) -> DataFrame:
     return (
         reads.select("read_idx", text.alias("_read"))
         .where(F.length("_read") >= MIN_READ)
+        .repartition(shuffle_width(reads.sparkSession), "read_idx")  # few bytes, much work
         .select("read_idx", "_read", F.explode(starts).alias("win_start"))
         .select("read_idx", F.col("win_start").cast("bigint").alias("win_start"), F.substring("_read", F.col("win_start") + 1, F.lit(WINDOW)).alias("win"), F.when(F.col("win_start") >= ANCHOR, F.substring("_read", F.col("win_start") + 1 - ANCHOR, F.lit(ANCHOR))).otherwise(F.left("_read", F.col("win_start"))).alias("anchor"))
     )
