@@ -97,10 +97,15 @@ def pattern_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pattern_locate(spark: SparkSession, folder: str) -> DataFrame:
-    """Places of every dictionary motif of four or more bases in every sequence."""
+    """Places of every dictionary motif of four or more bases in every sequence, as its SQL has it; see ``pattern_locate_all``."""
     return index.motif_places(_seqs(spark, folder), _motifs(spark, folder).where("k >= 4"))
 
 
+def pattern_locate_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of every dictionary motif in every sequence."""
+    return index.motif_places(_seqs(spark, folder), _motifs(spark, folder))
+
+
 def suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return index.suffix_array(_seqs(spark, folder))
 
@@ -225,6 +230,7 @@ QUERIES = {
         primitive_roots,
         pattern_count,
         pattern_locate,
+        pattern_locate_all,
         suffix_array,
         bwt,
         occ_rank,
@@ -395,6 +401,7 @@ SQL = {
     "primitive_roots": f"SELECT rec_id, r AS root, CAST(length(r) AS INTEGER) AS root_length FROM (SELECT rec_id, {root_sql('c')} AS r FROM (SELECT rec_id, {CLEAN_SQL} AS c FROM tandem_repeats))",
     "pattern_count": f"{_KMERS} SELECT seq_ord, motif, count(*) AS n FROM found GROUP BY seq_ord, motif",
     "pattern_locate": f"{_KMERS} SELECT * FROM found WHERE length(motif) >= 4",
+    "pattern_locate_all": f"{_KMERS} SELECT * FROM found",
     "suffix_array": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes",
     "bwt": f"{_SUFFIXES} SELECT seq_ord, rank, CASE WHEN p = 0 THEN '$' ELSE substring(t, p, 1) END AS ch FROM suffixes",
     "sampled_sa": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes WHERE rank % 32 = 0",
