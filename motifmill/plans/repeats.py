@@ -219,6 +219,11 @@ def vcf_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines(longest(_all(spark, folder), TOP, ["seq_ord"]), "vcf", per=["seq_ord"])
 
 
+def vcf_lines_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a VCF file of each sequence, with all its repeats in order of emission."""
+    return lines(_all(spark, folder), "vcf", per=["seq_ord"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -254,6 +259,7 @@ QUERIES = {
         top_repeats_by_length,
         bed_lines,
         vcf_lines,
+        vcf_lines_all,
     )
 }
 
@@ -435,4 +441,5 @@ SELECT seq_ord, chrom, start, "end", motif, copies, CAST("end" - start AS BIGINT
     "top_repeats_by_length": f"{_BOTH} SELECT {_COLUMNS}, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY seq_ord ORDER BY length DESC, tier, a, b, c) - 1 AS place FROM both_tiers) WHERE place < {TOP}",
     "bed_lines": _lines_sql("tier, a, b, c", _BED_FIELDS, BED_HEADER),
     "vcf_lines": _lines_sql("length DESC, tier, a, b, c", _VCF_FIELDS, VCF_HEADER, TOP),
+    "vcf_lines_all": _lines_sql("tier, a, b, c", _VCF_FIELDS, VCF_HEADER),
 }
