@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motifmill.functions.motifs import canonical_motif
 from motifmill.llm.mixing import Mix, Target, mix_sources
 from motifmill.llm.packing import pack_items
-from motifmill.llm.shared import maximal_spans, shared_bases, sharing_pairs
+from motifmill.llm.shared import class_members, maximal_spans, shared_bases, sharing_pairs
 from motifmill.llm.splitting import split_records
 from motifmill.llm.survivors import Field, survivors
 from motifmill.llm.terms import mark_by_spread, term_frequencies
@@ -76,6 +76,11 @@ def p6_spans(spark: SparkSession, folder: str) -> DataFrame:
     return maximal_spans(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN)
 
 
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The representative in ``p6_spans`` of every reference record, and whether it has a stretch to share at all."""
+    return class_members(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN)
+
+
 def p6_shared_bases(spark: SparkSession, folder: str) -> DataFrame:
     """For each reference record, how many of its bases are shared with another."""
     return shared_bases(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN)
@@ -161,6 +166,7 @@ QUERIES = {
     "p4_records": p4_records,
     "p6_found": p6_found,
     "p6_spans": p6_spans,
+    "p6_classes": p6_classes,
     "p6_shared_bases": p6_shared_bases,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
@@ -218,6 +224,7 @@ WHERE rank_no <= {TOP_N}""",
     "p4_records": f"{_GROUPS} SELECT * FROM groups",
     "p6_found": f"""{_STRETCHES}
 SELECT DISTINCT a.seq_ord AS seq_a, b.seq_ord AS seq_b FROM clean a JOIN clean b USING (stretch) WHERE a.seq_ord < b.seq_ord""",
+    "p6_classes": f"SELECT seq_ord AS record, min(seq_ord) OVER (PARTITION BY upper(seq)) AS representative, regexp_matches(seq, '[ACGTacgt]{{{SPAN}}}') AS holds_span FROM fasta WHERE seq IS NOT NULL",
     "p6_shared_bases": f"""{_STRETCHES},
 shared AS (SELECT * FROM clean WHERE stretch IN (SELECT stretch FROM clean GROUP BY stretch HAVING count(DISTINCT seq_ord) > 1)),
 steps AS (SELECT seq_ord, least({SPAN}, coalesce(lead(p) OVER (PARTITION BY seq_ord ORDER BY p) - p, {SPAN})) AS step FROM shared)

@@ -98,6 +98,13 @@ def exact_classes(df: DataFrame, record: str, text: str) -> DataFrame:
     return keyed.join(least, "_key").select("record", "representative")
 
 
+def class_members(df: DataFrame, record: str, text: str, span: int = 100) -> DataFrame:
+    """(record, representative, holds_span) of every record with a text: its class of exact copies, and whether the text
+    has ``span`` clean bases in a row, so that the records of the class share them with each other."""
+    holds = df.select(F.col(record).alias("record"), F.col(text).rlike(f"(?i)[ACGT]{{{span}}}").alias("holds_span"))
+    return exact_classes(df, record, text).join(holds, "record")
+
+
 def seed_matches(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
     """Matches of at least ``span`` bases around the seeds that two records share, smaller record first."""
     rows = df.where(F.length(text) >= span).select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text"))
