@@ -63,8 +63,42 @@ def _seeds(span: int, k: int):
     return run
 
 
+_SEED = "anchor bigint, record bigint, pos bigint, left int, right int, around binary"
+
+
+def _runs(span: int):
+    """Seeds to rows (anchor, record, pos, left, right, around, step, copies): those of one record with equal anchor and
+    surroundings that follow each other in a batch at one step below ``span`` are one row, ``step`` 0 for one alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, record, pos, left, right = (batch.column(i).to_numpy() for i in range(5))
+            around = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(len(pos), -1)
+            order = np.lexsort((pos, anchor, record))
+            same = (around[order[1:]] == around[order[:-1]]).all(axis=1)
+            for x in (anchor, record, left, right):
+                same &= x[order[1:]] == x[order[:-1]]
+            gap = np.diff(pos[order])
+            linked = same & (gap < span)
+            goes_on = linked.copy()
+            goes_on[1:] &= ~linked[:-1] | (gap[1:] == gap[:-1])
+            begins = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            copies = np.diff(np.append(begins, len(order)))
+            step = np.where(copies > 1, np.append(gap, 0)[begins], 0)
+            kept = batch.take(pa.array(order[begins]))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(step), pa.array(copies)], [*batch.schema.names, "step", "copies"])
+
+    return run
+
+
 def _extend(span: int, k: int):
-    """Per seed pair: the match around the seed, if it reaches ``span`` bases; ``first`` if it begins within reach."""
+    """Per pair of seed runs: the matches around their seeds that reach ``span`` bases; ``first`` if it begins within reach.
+
+    Runs of one step give a match for each diagonal, which unites those of its seeds: they overlap, as the step is
+    below ``span``. Runs of two steps give a match for each pair of seeds.
+    """
     reach = span - k
     before = reach + 1
     width = -(-(before + k + reach) // 4)
@@ -76,17 +110,30 @@ def _extend(span: int, k: int):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             a, b = (_unpack(np.frombuffer(b"".join(col[c].to_pylist()), dtype=np.uint8).reshape(-1, width)) for c in ("around_a", "around_b"))
             same = a == b
-            num = {n: col[n].to_numpy() for n in ("record_a", "record_b", "pos_a", "pos_b", "left_a", "left_b", "right_a", "right_b")}
+            num = {n: col[n].to_numpy() for n in ("record_a", "record_b", "pos_a", "pos_b", "left_a", "left_b", "right_a", "right_b", "step_a", "step_b", "copies_a", "copies_b")}
             seed = same[:, before : before + k].all(axis=1)
             lead = np.minimum.accumulate(same[:, before - 1 :: -1][:, :before], axis=1).sum(axis=1)
             trail = np.minimum.accumulate(same[:, before + k : before + k + reach], axis=1).sum(axis=1)
             lead = np.minimum(lead, np.minimum(num["left_a"], num["left_b"]))
             trail = np.minimum(trail, np.minimum(num["right_a"], num["right_b"]))
             keep = seed & (lead + k + trail >= span)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(num["record_a"][keep]), pa.array(num["record_b"][keep]), pa.array((num["pos_a"] - lead)[keep]), pa.array((num["pos_b"] - lead)[keep]), pa.array((lead + k + trail)[keep]), pa.array((lead <= reach)[keep])],
-                ["record_a", "record_b", "start_a", "start_b", "bases", "first"],
-            )
+            num = {n: x[keep] for n, x in num.items()}
+            lead, bases, m, n = lead[keep], (lead + k + trail)[keep], num["copies_a"], num["copies_b"]
+            along = (num["step_a"] == num["step_b"]) | (m == 1) | (n == 1)
+            ends = np.cumsum(np.where(along, m + n - 1, m * n))
+            for at in range(0, int(ends[-1]) if len(ends) else 0, 200_000):
+                number = np.arange(at, min(at + 200_000, int(ends[-1])))
+                row = np.searchsorted(ends, number, side="right")
+                nth = number - np.append(0, ends)[row]
+                one, a, b = along[row], m[row], n[row]
+                diagonal = nth - (a - 1)
+                i = np.where(one, np.maximum(-diagonal, 0), nth // b)
+                j = np.where(one, np.maximum(diagonal, 0), nth % b)
+                more = np.where(one, np.minimum(a - i, b - j) - 1, 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (num["record_a"][row], num["record_b"][row], num["pos_a"][row] + i * num["step_a"][row] - lead[row], num["pos_b"][row] + j * num["step_b"][row] - lead[row], bases[row] + more * num["step_a"][row], lead[row] <= reach)],
+                    ["record_a", "record_b", "start_a", "start_b", "bases", "first"],
+                )
 
     return run
 
@@ -105,11 +152,22 @@ def class_members(df: DataFrame, record: str, text: str, span: int = 100) -> Dat
     return exact_classes(df, record, text).join(holds, "record")
 
 
-def seed_matches(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
-    """Matches of at least ``span`` bases around the seeds that two records share, smaller record first."""
+def seed_rows(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50, places: bool = True) -> DataFrame:
+    """Seeds as runs, to be joined on ``anchor``. Without ``places`` seeds of equal surroundings are one in a record."""
     rows = df.where(F.length(text) >= span).select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text"))
-    seeds = rows.mapInArrow(_seeds(span, k), "anchor bigint, record bigint, pos bigint, left int, right int, around binary")
-    sides = [seeds.select("anchor", *(F.col(c).alias(f"{c}_{s}") for c in ("record", "pos", "left", "right", "around"))) for s in "ab"]
+    runs = rows.mapInArrow(_seeds(span, k), _SEED).mapInArrow(_runs(span), f"{_SEED}, step bigint, copies bigint")
+    if places:
+        return runs
+    return runs.groupBy("anchor", "record", "left", "right", "around").agg(F.min("pos").alias("pos")).withColumns({"step": F.lit(0).cast("bigint"), "copies": F.lit(1).cast("bigint")})
+
+
+def seed_matches(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50, places: bool = True) -> DataFrame:
+    """Matches of at least ``span`` bases around the seeds that two records share, smaller record first.
+
+    Without ``places`` a pair of records has one match for each pair of surroundings, wherever they occur.
+    """
+    seeds = seed_rows(df, record, text, span, k, places)
+    sides = [seeds.select("anchor", *(F.col(c).alias(f"{c}_{s}") for c in ("record", "pos", "left", "right", "around", "step", "copies"))) for s in "ab"]
     pairs = sides[0].join(sides[1], "anchor").where("record_a < record_b").drop("anchor")
     return pairs.mapInArrow(_extend(span, k), "record_a bigint, record_b bigint, start_a bigint, start_b bigint, bases bigint, first boolean")
 
@@ -123,7 +181,7 @@ def sharing_classes(df: DataFrame, record: str, text: str, span: int = 100, k: i
     """Pairs (record_a, record_b) of representatives that share a stretch, and the membership of all records."""
     classes = exact_classes(df, record, text).persist()
     # a maximal match begins within reach of its first seed: that seed alone reports the pair
-    pairs = seed_matches(_representatives(df, classes, record), record, text, span, k).where("first").select("record_a", "record_b").distinct()
+    pairs = seed_matches(_representatives(df, classes, record), record, text, span, k, places=False).where("first").select("record_a", "record_b").distinct()
     return pairs, classes
 
 
