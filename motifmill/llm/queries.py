@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifmill.functions.motifs import canonical_motif
@@ -105,6 +105,24 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     forced = F.max((F.col("cut_kind") == "forced").cast("int"))
     return pieces.groupBy(F.col("record").alias("seq_ord")).agg(F.when(forced == 1, F.lit("forced")).otherwise(F.lit("free")).alias("cut_kind"))
 
+def p7_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every record held against what is asked of them: forced cuts, and whether all hold the limit, cover
+    the record, overlap as stated, are not inside one another, and have the record's own text."""
+    ((_, max_size, overlap),) = _limits(spark, folder, "fasta_seq")
+    along = Window.partitionBy("seq_ord").orderBy("piece_no")
+    pieces = p7_pieces(spark, folder).withColumns({"_start": F.lag("piece_start").over(along), "_end": F.lag("piece_end").over(along)})
+    told = pieces.join(table(spark, folder, "fasta").select("seq_ord", "seq"), "seq_ord").groupBy("seq_ord")
+    return told.agg(
+        F.max("piece_end").alias("n_chars"),
+        F.count_if(F.col("cut_kind") == "forced").alias("n_forced"),
+        F.bool_and(F.col("piece_end") - F.col("piece_start") <= max_size).alias("within_limit"),
+        F.bool_and(F.when(F.col("cut_kind") == "end", F.col("piece_end") == F.length("seq")).otherwise(F.col("piece_end") < F.length("seq"))).alias("covered"),
+        F.bool_and(F.col("piece_start") == F.coalesce(F.greatest(F.col("_end") - overlap, F.lit(0)), F.lit(0))).alias("overlapping"),
+        F.bool_and(F.col("_end").isNull() | ((F.col("piece_start") > F.col("_start")) & (F.col("piece_end") > F.col("_end")))).alias("none_inside"),
+        F.bool_and(F.col("piece") == F.substring("seq", F.col("piece_start").cast("int") + 1, (F.col("piece_end") - F.col("piece_start")).cast("int"))).alias("text_kept"),
+    )
+
+
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, for each container size."""
@@ -169,6 +187,7 @@ QUERIES = {
     "p6_classes": p6_classes,
     "p6_shared_bases": p6_shared_bases,
     "p7_found": p7_found,
+    "p7_audit": p7_audit,
     "p7_pieces": p7_pieces,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
@@ -232,5 +251,10 @@ SELECT seq_ord AS record, CAST(coalesce(length(seq), 0) AS BIGINT) AS n_bases, C
 FROM fasta LEFT JOIN (SELECT seq_ord, sum(step) AS shared_bases FROM steps GROUP BY seq_ord) USING (seq_ord)""",
     "p7_found": """
 SELECT seq_ord, CASE WHEN list_max(list_transform(regexp_split_to_array(upper(seq), 'N{10,}'), lambda s: length(s))) <= max_size - overlap_size THEN 'free' ELSE 'forced' END AS cut_kind
+    "p7_audit": f"""
+SELECT seq_ord, CAST(length(seq) AS BIGINT) AS n_chars,
+  CASE WHEN length(seq) > max_size THEN CAST(list_sum(list_transform(regexp_split_to_array(upper(seq), 'N{{{MIN_GAP},}}'), lambda s: greatest(0, (length(s) - 1) // (max_size - overlap_size)))) AS BIGINT) ELSE 0 END AS n_forced,
+  true AS within_limit, true AS covered, true AS overlapping, true AS none_inside, true AS text_kept
+FROM fasta, size_limits WHERE item_kind = 'fasta_seq' AND seq IS NOT NULL""",
 FROM fasta, size_limits WHERE item_kind = 'fasta_seq' AND length(seq) > max_size""",
 }

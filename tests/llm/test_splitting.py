@@ -34,6 +34,30 @@ def test_cuts_keep_the_limit_and_are_free_where_possible():
         assert all(kind == "gap" for _, kind in found) == free, text
 
 
+def least(text, own):
+    """(forced cuts, pieces): as few forced cuts as can be, then as few pieces."""
+    n, in_gap = len(text), set()
+    for m in GAP.finditer(text):
+        in_gap.update(range(m.start(), m.end() + 1))
+    best = [(0, 0)]
+    for i in range(1, n + 1):
+        forced, pieces = min(best[max(0, i - own) : i])
+        best.append((forced + (i < n and i not in in_gap), pieces + 1))
+    return best[n]
+
+
+def test_no_cut_is_forced_and_no_piece_made_without_need():
+    for text in [*sequences(400), "A" * 5 + "N" * 10 + "C" * 500, "N" * 1000]:
+        if len(text) > 100:
+            found = cuts(text, 100, 20, GAP)
+            assert (sum(kind == "forced" for _, kind in found), len(found) + 1) == least(text, 80), text
+
+
+def test_many_gaps_take_linear_time():
+    text = ("ACGT" * 30 + "N" * 12) * 30_000
+    assert len(cuts(text, 5000, 200, GAP)) < len(text) / (4800 - 120)
+
+
 def test_free_cuts_are_few_and_balanced():
     text = ("A" * 30 + "N" * 10) * 40
     found = cuts(text, 420, 20, GAP)
@@ -53,3 +77,4 @@ def test_pieces_cover_and_overlap(spark):
         assert own[0]["piece_start"] == 0 and own[-1]["piece_end"] == len(text) and own[-1]["cut_kind"] == "end"
         for a, b in zip(own, own[1:]):
             assert b["piece_start"] == max(0, a["piece_end"] - 20)
+            assert a["piece_start"] < b["piece_start"] and a["piece_end"] < b["piece_end"], text
