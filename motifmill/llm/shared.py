@@ -1,10 +1,13 @@
 """Long exact spans shared between records: seed, extend, keep the maximal ones.
 
 Exact copies are classes: one representative of each is compared, the rest is membership. Seeds are k-mers
-chosen by winnowing so that every clean stretch of ``span`` bases holds one; representatives are joined on
-them. A seed carries ``span - k`` bases to either side, two bits each, which is all that is needed to tell
-whether the match around it reaches ``span``: the sequences themselves are never shuffled. Matches of seeds on
-one diagonal overlap wherever the records go on matching, so their union is the maximal span.
+chosen by winnowing so that every clean stretch of ``span`` bases holds one. They first travel as a hash, a record and a
+place, and only those found in two records go on: they are looked up in the texts again and given the
+``span - k`` bases to either side, two bits each, which is all that is needed to tell whether the match around a
+seed reaches ``span``. Such a match shares at least half of these bases on one side, so seeds are joined on the seed and
+the half beside it: a seed in many records is split by what stands beside it, and records that share no more than the seed are
+not compared. Matches of seeds on one diagonal overlap wherever the records go on matching, so their union is the
+maximal span.
 """
 
 from __future__ import annotations
@@ -13,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifmill.llm.spans import anchors, window_fingerprints
+from motifmill.llm.spans import anchors, concatenated, window_fingerprints
 from motifmill.operators.intervals import periods
-from motifmill.session import checkpointed
+from motifmill.session import BROADCAST_ROWS, checkpointed, small
 
 
 def _pack(codes: np.ndarray) -> np.ndarray:
@@ -35,47 +39,79 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
 
 
-def _seeds(span: int, k: int):
-    """Per record: (anchor, record, pos, left, right, around). ``left`` and ``right`` count clean bases beside the seed."""
+def _bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def _half(span: int, k: int) -> int:
+    """Bases beside a seed of which a match of ``span`` shares this many on one side (no more than fit 62 bits)."""
+    return min(-(-(span - k) // 2), 31)
+
+
+def _light(span: int, k: int):
+    """Texts to seeds (anchor, record, pos)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes, starts = concatenated(_bytes(batch.column(1)))
+                pos, hashes = anchors(codes, span, k)
+                of = np.searchsorted(starts, pos, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(of)), pa.array(pos - starts[of])], ["anchor", "record", "pos"])
+
+    return run
+
+
+def _surrounded(span: int, k: int):
+    """Texts with places of seeds to (anchor, record, pos, left, right, around, beside_left, beside_right).
+
+    ``left`` and ``right`` count clean bases beside the seed; the half beside it is -1 where it is not clean.
+    """
     reach = span - k
     before = reach + 1
     width = -(-(before + k + reach) // 4) * 4
+    half = _half(span, k)
+    place = np.int64(4) ** np.arange(half, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for record, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
-                pos, hashes, codes = anchors(seq.as_buffer() if hasattr(seq, "as_buffer") else seq.as_py().encode(), span, k)
-                for at in range(0, len(pos), 20_000):
-                    p = pos[at : at + 20_000]
-                    padded = np.full(before + len(codes) + width, 4, dtype=np.uint8)
-                    padded[before : before + len(codes)] = codes
-                    around = padded[p[:, None] + np.arange(width)]
-                    dirty = around == 4
-                    left = np.where(dirty[:, :before].any(axis=1), np.argmax(dirty[:, before - 1 :: -1][:, :before], axis=1), before)
-                    tail = dirty[:, before + k : before + k + reach]
-                    right = np.where(tail.any(axis=1), np.argmax(tail, axis=1), reach)
-                    around[dirty] = 0
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes[at : at + 20_000].view(np.int64)), pa.array(np.full(len(p), record, dtype=np.int64)), pa.array(p), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), _binary(_pack(around))],
-                        ["anchor", "record", "pos", "left", "right", "around"],
-                    )
+            if not batch.num_rows:
+                continue
+            codes, starts = concatenated(_bytes(batch.column(1)))
+            padded = np.concatenate([np.full(before, 4, dtype=np.uint8), codes, np.full(width, 4, dtype=np.uint8)])
+            seeds = batch.column(2).flatten()
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+            where, anchor = (seeds.field(c).to_numpy() for c in ("pos", "anchor"))
+            for at in range(0, len(where), 20_000):
+                part = slice(at, at + 20_000)
+                around = padded[(where[part] + starts[of[part]])[:, None] + np.arange(width)]
+                dirty = around == 4
+                left = np.where(dirty[:, :before].any(axis=1), np.argmax(dirty[:, before - 1 :: -1][:, :before], axis=1), before)
+                tail = dirty[:, before + k : before + k + reach]
+                right = np.where(tail.any(axis=1), np.argmax(tail, axis=1), reach)
+                around[dirty] = 0
+                beside = [np.where(clean >= half, (around[:, i : i + half] * place).sum(axis=1), -1) for clean, i in ((left, before - half), (right, before + k))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[part]), batch.column(0).take(pa.array(of[part])), pa.array(where[part]), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), _binary(_pack(around)), *map(pa.array, beside)],
+                    ["anchor", "record", "pos", "left", "right", "around", "beside_left", "beside_right"],
+                )
 
     return run
 
 
-_SEED = "anchor bigint, record bigint, pos bigint, left int, right int, around binary"
+_SEED = "anchor bigint, record bigint, pos bigint, left int, right int, around binary, beside_left bigint, beside_right bigint"
 
 
 def _runs(span: int):
-    """Seeds to rows (anchor, record, pos, left, right, around, step, copies): those of one record with equal anchor and
+    """Adds (step, copies): seeds of one record with equal anchor and
     surroundings that follow each other in a batch at one step below ``span`` are one row, ``step`` 0 for one alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, record, pos, left, right = (batch.column(i).to_numpy() for i in range(5))
-            around = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(len(pos), -1)
+            anchor, record, pos, left, right = (batch.column(c).to_numpy() for c in ("anchor", "record", "pos", "left", "right"))
+            around = np.frombuffer(b"".join(batch.column("around").to_pylist()), dtype=np.uint8).reshape(len(pos), -1)
             order = np.lexsort((pos, anchor, record))
             same = (around[order[1:]] == around[order[:-1]]).all(axis=1)
             for x in (anchor, record, left, right):
@@ -102,6 +138,7 @@ def _extend(span: int, k: int):
     reach = span - k
     before = reach + 1
     width = -(-(before + k + reach) // 4)
+    half = _half(span, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +153,8 @@ def _extend(span: int, k: int):
             trail = np.minimum.accumulate(same[:, before + k : before + k + reach], axis=1).sum(axis=1)
             lead = np.minimum(lead, np.minimum(num["left_a"], num["left_b"]))
             trail = np.minimum(trail, np.minimum(num["right_a"], num["right_b"]))
-            keep = seed & (lead + k + trail >= span)
+            # a pair that shares the halves on both sides is met twice: here it counts by the left one
+            keep = seed & (lead + k + trail >= span) & (col["left_half"].to_numpy(zero_copy_only=False) | (lead < half))
             num = {n: x[keep] for n, x in num.items()}
             lead, bases, m, n = lead[keep], (lead + k + trail)[keep], num["copies_a"], num["copies_b"]
             along = (num["step_a"] == num["step_b"]) | (m == 1) | (n == 1)
@@ -152,34 +190,44 @@ def class_members(df: DataFrame, record: str, text: str, span: int = 100) -> Dat
     return exact_classes(df, record, text).join(holds, "record")
 
 
-def seed_rows(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50, places: bool = True) -> DataFrame:
-    """Seeds as runs, to be joined on ``anchor``. Without ``places`` seeds of equal surroundings are one in a record."""
+def seed_rows(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
+    """Seeds of two records or more with what is around them, as runs."""
     rows = df.where(F.length(text) >= span).select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text"))
-    runs = rows.mapInArrow(_seeds(span, k), _SEED).mapInArrow(_runs(span), f"{_SEED}, step bigint, copies bigint")
-    if places:
-        return runs
-    return runs.groupBy("anchor", "record", "left", "right", "around").agg(F.min("pos").alias("pos")).withColumns({"step": F.lit(0).cast("bigint"), "copies": F.lit(1).cast("bigint")})
+    light = rows.mapInArrow(_light(span, k), "anchor bigint, record bigint, pos bigint")
+    spread = light.groupBy("anchor").agg(F.min("record").alias("_least"), F.max("record").alias("_most"))  # combined on the map side
+    common = checkpointed(light.join(spread.where("_least < _most").select("anchor"), "anchor"))
+    places = common.groupBy("record").agg(F.collect_list(F.struct("pos", "anchor")).alias("seeds"))  # no more than a text has
+    if common.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    around = rows.join(places, "record").select("record", "text", "seeds").mapInArrow(_surrounded(span, k), _SEED)
+    return around.mapInArrow(_runs(span), f"{_SEED}, step bigint, copies bigint")
 
 
 def seed_matches(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50, places: bool = True) -> DataFrame:
     """Matches of at least ``span`` bases around the seeds that two records share, smaller record first.
 
-    Without ``places`` a pair of records has one match for each pair of surroundings, wherever they occur.
+    Without ``places`` seeds of equal surroundings are one in a record, and a pair of records has one match for each
+    pair of surroundings, wherever they occur.
     """
-    seeds = seed_rows(df, record, text, span, k, places)
-    sides = [seeds.select("anchor", *(F.col(c).alias(f"{c}_{s}") for c in ("record", "pos", "left", "right", "around", "step", "copies"))) for s in "ab"]
-    pairs = sides[0].join(sides[1], "anchor").where("record_a < record_b").drop("anchor")
+    seeds = seed_rows(df, record, text, span, k)
+    if not places:
+        seeds = seeds.groupBy("anchor", "record", "left", "right", "around", "beside_left", "beside_right").agg(F.min("pos").alias("pos")).withColumns({"step": F.lit(0).cast("bigint"), "copies": F.lit(1).cast("bigint")})
+    seeds = checkpointed(seeds)  # read by both sides
+    halves = F.array(*(F.struct(F.lit(left).alias("left_half"), F.col(c).alias("beside")) for left, c in ((True, "beside_left"), (False, "beside_right"))))
+    keyed = seeds.select("*", F.inline(halves)).where("beside >= 0")
+    sides = [keyed.select("anchor", "left_half", "beside", *(F.col(c).alias(f"{c}_{s}") for c in ("record", "pos", "left", "right", "around", "step", "copies"))) for s in "ab"]
+    pairs = sides[0].join(sides[1], ["anchor", "left_half", "beside"]).where("record_a < record_b").drop("anchor", "beside")
     return pairs.mapInArrow(_extend(span, k), "record_a bigint, record_b bigint, start_a bigint, start_b bigint, bases bigint, first boolean")
 
 
 def _representatives(df: DataFrame, classes: DataFrame, record: str) -> DataFrame:
-    chosen = classes.where("record = representative").select(F.col("record").alias(record))
-    return df.join(chosen, record, "left_semi")
+    """One row of each class, and rows without a text; texts are only shuffled where there are very many copies."""
+    return df.join(small(classes.where("record != representative").select(F.col("record").alias(record))), record, "left_anti")
 
 
 def sharing_classes(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """Pairs (record_a, record_b) of representatives that share a stretch, and the membership of all records."""
-    classes = exact_classes(df, record, text).persist()
+    classes = checkpointed(exact_classes(df, record, text))
     # a maximal match begins within reach of its first seed: that seed alone reports the pair
     pairs = seed_matches(_representatives(df, classes, record), record, text, span, k, places=False).where("first").select("record_a", "record_b").distinct()
     return pairs, classes
@@ -204,7 +252,7 @@ def sharing_pairs(df: DataFrame, record: str, text: str, span: int = 100, k: int
 
 def maximal_spans(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
     """(record_a, record_b, start_a, start_b, bases) of every maximal match between representatives of the classes."""
-    classes = exact_classes(df, record, text)
+    classes = checkpointed(exact_classes(df, record, text))
     found = seed_matches(_representatives(df, classes, record), record, text, span, k).withColumn("_shift", F.col("start_b") - F.col("start_a"))
     along = Window.partitionBy("record_a", "record_b", "_shift").orderBy("start_a")
     before = F.max(F.col("start_a") + F.col("bases")).over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -244,16 +292,12 @@ def shared_stretches(df: DataFrame, record: str, text: str, span: int = 100, k:
     Nothing is paired: a stretch is shared if its 128-bit fingerprint occurs in two records, so a stretch that a
     third of all records hold costs no more than as many others. Only seeds found in two records are looked into.
     """
-    rows = df.where(F.length(text) >= span).select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text"))
-    seeds = rows.mapInArrow(_seeds(span, k), "anchor bigint, record bigint, pos bigint, left int, right int, around binary")
-
-    def in_two_records(table: DataFrame, *keys: str) -> DataFrame:
-        spread = table.groupBy(*keys).agg(F.min("record").alias("_least"), F.max("record").alias("_most"))  # combined on the map side
-        return table.join(spread.where("_least < _most").select(*keys), list(keys), "left_semi")
-
-    common = checkpointed(in_two_records(seeds, "anchor").select("record", "pos", "left", "right", "around"))  # few, and read twice
-    stretches = common.mapInArrow(_stretches(span, k), "w1 bigint, w2 bigint, record bigint, start bigint")
-    return in_two_records(stretches, "w1", "w2").select("record", "start")
+    seeds = seed_rows(df, record, text, span, k)
+    # each copy in a run has the same surroundings
+    each = seeds.select("record", "left", "right", "around", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("_nth"), "pos", "step")
+    stretches = each.select("record", (F.col("pos") + F.col("_nth") * F.col("step")).alias("pos"), "left", "right", "around").mapInArrow(_stretches(span, k), "w1 bigint, w2 bigint, record bigint, start bigint")
+    spread = stretches.groupBy("w1", "w2").agg(F.min("record").alias("_least"), F.max("record").alias("_most"))
+    return stretches.join(spread.where("_least < _most").select("w1", "w2"), ["w1", "w2"], "left_semi").select("record", "start")
 
 
 def shared_bases(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
@@ -262,7 +306,7 @@ def shared_bases(df: DataFrame, record: str, text: str, span: int = 100, k: int
     Every record comes out; null and empty texts have 0 of 0 bases. A record with exact copies shares all its
     clean stretches of ``span`` or more bases.
     """
-    classes = exact_classes(df, record, text).persist()
+    classes = checkpointed(exact_classes(df, record, text))
     found = shared_stretches(_representatives(df, classes, record), record, text, span, k)
     covered = found.select(F.col("record").cast("string").alias("owner"), F.col("start").alias("s"), (F.col("start") + span).alias("e"))
     by_match = periods(covered, "owner", "s", "e").groupBy("owner").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("_matched"))
