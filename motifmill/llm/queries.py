@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motifmill.functions.columns import computed_once
 from motifmill.functions.motifs import canonical_motif
 from motifmill.llm.mixing import Mix, Target, mix_sources
 from motifmill.llm.packing import pack_items
@@ -35,7 +36,8 @@ def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Every canonical motif with its calls, its chroms and its mark (null: neither rare nor common)."""
     calls = table(spark, folder, "tandem_repeats")
     chroms = calls.select("chrom").where("chrom is not null").distinct().count()
-    marked = mark_by_spread(term_frequencies(calls, canonical_motif(F.col("motif")), F.col("chrom")), chroms, RARE_CHROMS, COMMON_SHARE)
+    spelled = computed_once(calls.select("motif", "chrom").where("chrom is not null"), canonical=canonical_motif(F.col("motif")))
+    marked = mark_by_spread(term_frequencies(spelled, F.col("canonical"), F.col("chrom")), chroms, RARE_CHROMS, COMMON_SHARE)
     return marked.select(F.col("term").alias("motif"), F.col("occurrences").alias("n_calls"), F.col("records").alias("n_chroms"), "mark")
 
 

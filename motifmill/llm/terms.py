@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.operators.arrowstream import changes, whole_groups
-from motifmill.session import shuffle_width
+from motifmill.session import checkpointed, shuffle_width
 
 _FLUSH = 200_000
 
@@ -27,15 +27,17 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = pa.concat_tables(held).group_by(["term", "record"]).aggregate([("n", "sum")])
         return counted.rename_columns(["term", "record", "n"]).select(["term", "record", "n"])
 
-    held, rows, limit = [], 0, _FLUSH
+    held, rows = [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(pa.Table.from_batches([batch]).append_column("n", pa.array(np.ones(batch.num_rows, dtype=np.int64))))
             rows += batch.num_rows
-        if rows >= limit:
+        if rows >= _FLUSH:
             held = [merged(held)]
             rows = held[0].num_rows
-            limit = max(_FLUSH, 2 * rows)
+            if rows > _FLUSH // 2:  # mostly different pairs: they go on as they are, the scan adds up what comes again
+                yield from held[0].combine_chunks().to_batches(max_chunksize=50_000)
+                held, rows = [], 0
     if held:
         yield from merged(held).combine_chunks().to_batches(max_chunksize=50_000)
 
@@ -57,7 +59,7 @@ def term_frequencies(df: DataFrame, term: Column, record: Column, partitions: in
     count as often as they come. An empty table gives an empty result.
     """
     pairs = df.select(term.cast("string").alias("term"), record.cast("string").alias("record")).where("term is not null and record is not null")
-    counted = pairs.mapInArrow(_combine, "term string, record string, n bigint").persist()
+    counted = checkpointed(pairs.mapInArrow(_combine, "term string, record string, n bigint"))  # the range partitioning reads it twice
     ordered = counted.repartitionByRange(partitions or shuffle_width(df.sparkSession), "term", "record").sortWithinPartitions("term", "record")
     parts = ordered.mapInArrow(_scan_runs, "term string, occurrences bigint, records bigint")
     return parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
