@@ -149,7 +149,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 def _mix(spark: SparkSession, folder: str) -> Mix:
     sized = table(spark, folder, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
     targets = [Target(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, folder, "mix_targets").collect()]  # one row a source
-    return mix_sources(sized, "doc_id", "source", "n_tokens", targets)
+    return mix_sources(sized, "doc_id", "source", "n_tokens", targets, use_up=False)
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
