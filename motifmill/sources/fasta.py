@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifmill.operators.ordering import number_rows
+from motifmill.session import small
 
 _EDGES = r"^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$"
 
@@ -44,16 +45,17 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
     """
     name = F.regexp_extract("record", r"^[ \t]*([^\s]+)", 1)
     head = F.trim(F.regexp_extract("record", r"^([^\n]*)", 1), F.lit(" \t\r"))
-    place = F.struct("file", "block", "at")
     sequence = _bases(F.col("record"))
     parsed = _records(spark, path).select(
         F.when(F.length(name) > 0, name).otherwise(F.raise_error(F.lit("a FASTA header without a name"))).alias("chrom"),
         F.regexp_extract(head, r"^[^\s]+\s+(.*)$", 1).alias("descr"),
         (F.upper(sequence) if upper else sequence).alias("seq"),
-        place.alias("_place"),
+        F.struct("file", "block", "at").alias("_place"),
     )
-    unique = parsed.groupBy("chrom").agg(F.min("_place").alias("_place"), F.max_by("descr", "_place").alias("descr"), F.max_by("seq", "_place").alias("seq"))
-    return number_rows(unique, ["_place"], "seq_ord").select("seq_ord", "chrom", "descr", "seq")
+    # names and places alone decide which records are kept and how they are numbered; sequences are read for those only
+    names = parsed.groupBy("chrom").agg(F.min("_place").alias("_first"), F.max("_place").alias("_place"))
+    numbered = number_rows(names, ["_first"], "seq_ord").select("_place", "seq_ord")
+    return parsed.join(small(numbered), "_place").select("seq_ord", "chrom", "descr", "seq")
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifmill.operators.ordering import number_rows
+from motifmill.operators.ordering import first_within, number_rows, number_within
 from motifmill.operators.tiers import EMISSION
 
 #: The header lines of both formats.
@@ -37,22 +37,32 @@ def vcf_line(number: Column) -> Column:
     return F.concat_ws("\t", "chrom", (F.col("start") + 1).cast("string"), F.concat(F.lit("TR"), number.cast("string")), F.lit("."), F.lit("<TR>"), F.lit("."), F.lit("PASS"), vcf_info())
 
 
+def _numbered(repeats: DataFrame, per: list[str] | None) -> DataFrame:
+    if per:
+        return number_within(repeats, per, EMISSION[:-1], EMISSION[-1:], "_no")
+    return number_rows(repeats, list(EMISSION), "_no")
+
+
 def longest(repeats: DataFrame, n: int | None, per: list[str]) -> DataFrame:
     """The ``n`` longest repeats of each group, ties in order of emission, with their place ``_no`` from 0.
 
     Null, 0 or a negative ``n`` keeps all, in order of emission.
     """
     if n is None or n <= 0:
-        return number_rows(repeats, list(EMISSION), "_no", per)
-    return number_rows(repeats, [F.desc("length"), *EMISSION], "_no", per).where(F.col("_no") < n)
+        return _numbered(repeats, per)
+    return first_within(repeats, per, [F.desc("length"), *EMISSION], n, "_no")
 
 
 def lines(repeats: DataFrame, form: str, order: list[Column | str] | None = None, per: list[str] | None = None) -> DataFrame:
-    """(per..., line_no, line) of a BED or VCF file, headers included with negative numbers; other formats raise."""
+    """(per..., line_no, line) of a BED or VCF file, headers included with negative numbers; other formats raise.
+
+    Lines are in the order of ``_no`` where the repeats have it (from 0 in each group), else of ``order`` (over all
+    groups), else of emission.
+    """
     if form not in ("bed", "vcf"):
         raise ValueError(f"unknown format {form!r}: bed or vcf")
     keys = per or []
-    rows = repeats if "_no" in repeats.columns else number_rows(repeats, order or list(EMISSION), "_no", per)
+    rows = repeats if "_no" in repeats.columns else number_rows(repeats, order, "_no") if order else _numbered(repeats, per)
     body = rows.select(*keys, F.col("_no").cast("bigint").alias("line_no"), (bed_line() if form == "bed" else vcf_line(F.col("_no"))).alias("line"))
     texts = BED_HEADER if form == "bed" else VCF_HEADER
     header = F.array(*(F.struct(F.lit(i - len(texts)).cast("bigint").alias("line_no"), F.lit(t).alias("line")) for i, t in enumerate(texts)))
@@ -62,12 +72,9 @@ def lines(repeats: DataFrame, form: str, order: list[Column | str] | None = None
 
 
 def write_lines(repeats: DataFrame, form: str, path: str, per: list[str] | None = None) -> None:
-    """Writes a BED or VCF file: one sorted text file below ``path``, or one folder for each value of ``per``.
+    """Writes a BED or VCF file as ordered parts below ``path``, or below one folder for each value of ``per``.
 
-    A single file is written by one task, as the format asks for; rows pass through it sorted, not held.
+    The parts, in order of their names, are the file; the header begins the first.
     """
-    made = lines(repeats, form, per=per)
-    if per:
-        made.repartition(*per).sortWithinPartitions(*per, "line_no").select(*per, "line").write.mode("overwrite").partitionBy(*per).text(path)
-    else:
-        made.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+    made = lines(repeats, form, per=per).orderBy(*(per or []), "line_no").select(*(per or []), "line").write.mode("overwrite")
+    (made.partitionBy(*per) if per else made).text(path)
