@@ -90,14 +90,15 @@ def kmers(seqs: DataFrame, k_from: int, k_to: int, size: int = 256, keep: tuple[
     )
 
 
-def _symbols(seed: int) -> np.ndarray:
+def byte_symbols(seed: int) -> np.ndarray:
+    """One random odd number for each byte."""
     return np.random.default_rng(seed).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprints(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of every k-mer of ASCII text."""
     codes = np.frombuffer(text, dtype=np.uint8)
-    return tuple(kmer_hashes(_symbols(seed)[codes], k, base).view(np.int64) for seed, base in ((1, _BASE), (2, 0xD6E8FEB86659FD93)))
+    return tuple(kmer_hashes(byte_symbols(seed)[codes], k, base).view(np.int64) for seed, base in ((1, _BASE), (2, 0xD6E8FEB86659FD93)))
 
 
 def kmer_fingerprints(seqs: DataFrame, k: int, key: str = "seq_ord") -> DataFrame:

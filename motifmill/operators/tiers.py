@@ -6,8 +6,11 @@ by which the order of emission is restored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 from motifmill.functions.motifs import least_rotation, primitive_root
 from motifmill.operators.kmers import fingerprints, kmer_fingerprints
 from motifmill.operators.runs import period_runs
-from motifmill.session import shuffle_width
+from motifmill.session import checkpointed, shuffle_width, small
 
 REPEAT_COLUMNS = ["seq_ord", "chrom", "start", "end", "motif", "copies", "length", "tier", "confidence"]
 #: Fixed values of the long-read detector: window and step, periods tried, score to pass, anchor length, shortest read.
@@ -43,13 +46,14 @@ def tier1(seqs: DataFrame, motifs: DataFrame, max_k: int = 6, min_copies: int =
     the run's start and the run is a whole number of copies. With ``maximal_only`` false every chain is given.
     """
     runs = period_runs(seqs.select("seq_ord", "seq", "n"), 1, max_k)
-    least = runs.withColumn("_least", least_rotation(F.col("seed"))).withColumn("_offset", F.instr(F.concat("seed", "seed"), F.col("_least")) - 1)
-    known = least.join(F.broadcast(motifs.select(F.col("motif").alias("_least"), F.col("k").alias("p"))), ["_least", "p"])
-    start = F.col("a") + F.col("_offset")
-    copies = F.floor((F.col("z") + F.col("p") - start) / F.col("p"))
-    chained = known.withColumn("_start", start).withColumn("_copies", copies).where(F.col("_copies") >= min_copies)
     if maximal_only:
-        chained = chained.where((F.col("_offset") == 0) & ((F.col("z") - F.col("a")) % F.col("p") == 0))
+        # the run is a whole number of copies and begins with the motif: its first unit is the motif itself
+        runs = runs.where((F.col("z") - F.col("a")) % F.col("p") == 0)
+        known = runs.join(small(motifs.select(F.col("motif").alias("seed"), F.col("k").alias("p"))), ["seed", "p"]).withColumn("_least", F.col("seed")).withColumn("_start", F.col("a"))
+    else:
+        least = runs.withColumn("_least", least_rotation(F.col("seed"))).withColumn("_start", F.col("a") + F.instr(F.concat("seed", "seed"), F.col("_least")) - 1)
+        known = least.join(small(motifs.select(F.col("motif").alias("_least"), F.col("k").alias("p"))), ["_least", "p"])
+    chained = known.withColumn("_copies", F.floor((F.col("z") + F.col("p") - F.col("_start")) / F.col("p"))).where(F.col("_copies") >= min_copies)
     end = F.col("_start") + F.col("_copies") * F.col("p")
     calls = chained.select("seq_ord", *_repeat(F.col("_start"), end, F.col("_least"), F.col("_copies"), 1, F.lit(1.0), (F.col("p").cast("bigint"), F.col("_least"), F.col("_start"))))
     return _named(calls, seqs)
@@ -65,33 +69,33 @@ def tier2_runs(seqs: DataFrame, min_period: int = 10, max_period: int = 1000, li
     return period_runs(seqs.select("seq_ord", "seq", "n"), min_period, cap, forbidden="N$", cap_by_length=True)
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs in order of (seq_ord, p, a) to repeats: a run counts from where the repeat before it ends, if two copies are left."""
+    owner, cursor = None, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for seq, p, a, z, root in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (seq, p) != owner:
+                owner, cursor = (seq, p), 0
+            first, q = max(a, cursor), len(root)
+            if z - first >= p:
+                turn = (first - a) % q
+                cursor = first + (z + p - first) // q * q
+                out.append((seq, p, first - (first - a) // q * q, cursor, root[turn:] + root[:turn]))
+        columns = zip(*out) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["seq_ord", "p", "start", "end", "motif"])
+
+
 def tier2(seqs: DataFrame, min_period: int = 10, max_period: int = 1000, lift_cap: bool = False) -> DataFrame:
     """Medium repeats: two or more exact adjacent copies, found by scanning each period from left to right.
 
-    A scan goes on behind the end of each repeat. Runs interact only where one begins inside the repeat before
-    it, so runs of a sequence and period are cut into clusters first and only clusters are folded in order. The
-    motif is reduced to its primitive root and extended by whole copies; equal results of several periods are one.
+    A scan goes on behind the end of each repeat. The runs of a sequence and period are read in order as a stream,
+    of which only the scan's place is kept. The motif is reduced to its primitive root and extended by whole copies;
+    equal results of several periods are one.
     """
-    runs = tier2_runs(seqs, min_period, max_period, lift_cap)
-    at = Window.partitionBy("seq_ord", "p").orderBy("a")
-    clustered = runs.withColumn("_new", F.when(F.col("a") < F.lag("z").over(at) + F.col("p"), 0).otherwise(1)).withColumn("_cluster", F.sum("_new").over(at))
-    rooted = clustered.withColumn("_root", primitive_root(F.col("seed"))).withColumn("_q", F.length("_root").cast("bigint"))
-    members = F.array_sort(F.collect_list(F.struct("a", "z", "_q", "_root")))
-    clusters = rooted.groupBy("seq_ord", "p", "_cluster").agg(members.alias("_runs"))
-    p = F.col("p").cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    hit = "struct<start:bigint,end:bigint,motif:string>"
-
-    def step(state: Column, r: Column) -> Column:
-        first = F.greatest(r["a"], state["cursor"])
-        start = first - F.floor((first - r["a"]) / r["_q"]) * r["_q"]
-        end = first + F.floor((r["z"] + p - first) / r["_q"]) * r["_q"]
-        motif = F.substring(F.concat(r["_root"], r["_root"]), ((first - r["a"]) % r["_q"] + 1).cast("int"), r["_q"].cast("int"))
-        taken = F.struct(end.alias("cursor"), F.concat(state["hits"], F.array(F.struct(start.alias("start"), end.alias("end"), motif.alias("motif")).cast(hit))).alias("hits"))
-        return F.when(r["z"] - first >= p, taken).otherwise(state)
-
-    empty = F.struct(zero.alias("cursor"), F.array().cast(f"array<{hit}>").alias("hits"))
-    hits = clusters.select("seq_ord", "p", F.inline(F.aggregate("_runs", empty, step)["hits"]))
+    runs = tier2_runs(seqs, min_period, max_period, lift_cap).select("seq_ord", "p", "a", "z", primitive_root(F.col("seed")).alias("root"))
+    ordered = runs.repartition("seq_ord", "p").sortWithinPartitions("seq_ord", "p", "a")
+    hits = ordered.mapInArrow(_scan, "seq_ord bigint, p int, start bigint, end bigint, motif string")
     once = hits.groupBy("seq_ord", "start", "end", "motif").agg(F.min("p").alias("p"))
     length = F.col("end") - F.col("start")
     calls = once.select("seq_ord", *_repeat(F.col("start"), F.col("end"), F.col("motif"), F.floor(length / F.length("motif")), 2, F.lit(0.95), (F.col("p").cast("bigint"), F.lit(""), F.col("end"))))
@@ -147,9 +151,14 @@ def anchor_map(seqs: DataFrame, windows: DataFrame) -> DataFrame:
     return places.join(wanted, ["h1", "h2"]).groupBy("h1", "h2", "seq_ord").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("hit")).where("_n = 1").drop("_n")
 
 
-def tier3_calls(seqs: DataFrame, reads: DataFrame) -> DataFrame:
+def scored_windows(reads: DataFrame) -> DataFrame:
+    """Windows that repeat themselves and have a full anchor, scored once and written down: what ``tier3_calls`` places."""
+    return checkpointed(window_periodicity(reads).where(F.length("anchor") == ANCHOR))
+
+
+def tier3_calls(seqs: DataFrame, reads: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Calls of single windows, placed on every sequence where the window's anchor is unique."""
-    windows = window_periodicity(reads).where(F.length("anchor") == ANCHOR)
+    windows = scored_windows(reads) if windows is None else windows
     placed = windows.withColumn("_f", _anchor_fingerprint("anchor")).select("*", "_f.h1", "_f.h2").join(anchor_map(seqs, windows), ["h1", "h2"])
     start = F.col("hit") + ANCHOR
     return placed.select("seq_ord", "read_idx", "win_start", *_repeat(start, start + F.length("motif") * F.col("copies"), F.col("motif"), F.col("copies"), 3, F.col("confidence"), (start, F.lit(""), start + F.length("motif") * F.col("copies"))))
@@ -186,13 +195,16 @@ def tier3(seqs: DataFrame, reads: DataFrame) -> DataFrame:
     return _named(consolidate(tier3_calls(seqs, reads)), seqs)
 
 
-def all_repeats(seqs: DataFrame, motifs: DataFrame, reads: DataFrame | None = None, use_tier1: bool = True, use_tier2: bool = True, use_tier3: bool = False, max_k: int = 6, min_period: int = 10, max_period: int = 1000) -> DataFrame:
-    """Union of the chosen tiers, nothing removed between them. Tier 3 needs ``reads``; without any tier the result is empty."""
+def all_repeats(seqs: DataFrame, motifs: DataFrame, reads: DataFrame | None = None, use_tier1: bool = True, use_tier2: bool = True, use_tier3: bool = False, max_k: int = 6, min_period: int = 10, max_period: int = 1000, lift_cap: bool = False) -> DataFrame:
+    """Union of the chosen tiers, nothing removed between them. Tier 3 needs ``reads``; without any tier the result is empty.
+
+    Periods of tier 2 end at 64 unless ``lift_cap`` lets them go on to ``max_period``.
+    """
     parts = []
     if use_tier1:
         parts.append(tier1(seqs, motifs, max_k))
     if use_tier2:
-        parts.append(tier2(seqs, min_period, max_period))
+        parts.append(tier2(seqs, min_period, max_period, lift_cap))
     if use_tier3 and reads is not None:
         parts.append(tier3(seqs, reads))
     if not parts:

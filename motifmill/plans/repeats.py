@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.functions.motifs import canonical_motif, clean_motif, is_lyndon, is_primitive, primitive_root
-from motifmill.operators import index, tiers
+from motifmill.operators import index, patterns, tiers
 from motifmill.operators.kmers import sequences
 from motifmill.plans.sql import CANONICAL_SQL, CLEAN_SQL, root_sql
 from motifmill.sources.formats import BED_HEADER, VCF_HEADER, lines, longest
@@ -36,6 +36,18 @@ def _motifs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "motif_dictionary")
 
 
+_INDEXES: dict[tuple[str, str], index.Index] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> index.Index:
+    """The index of the reference sequences, built and written once in a session: all queries on it read the same tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = index.build(_seqs(spark, folder))
+    return _INDEXES[key]
+
+
 def _calls(repeats: DataFrame) -> DataFrame:
     return repeats.select(*tiers.REPEAT_COLUMNS)
 
@@ -93,53 +105,68 @@ def primitive_roots(spark: SparkSession, folder: str) -> DataFrame:
 
 def pattern_count(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of every dictionary motif in every sequence."""
-    return index.motif_counts(_seqs(spark, folder), _motifs(spark, folder))
+    return patterns.motif_counts(_seqs(spark, folder), _motifs(spark, folder))
 
 
 def pattern_locate(spark: SparkSession, folder: str) -> DataFrame:
-    """Places of every dictionary motif of four or more bases in every sequence, as its SQL has it; see ``pattern_locate_all``."""
-    return index.motif_places(_seqs(spark, folder), _motifs(spark, folder).where("k >= 4"))
+    """Places of every dictionary motif in every sequence."""
+    return patterns.motif_places(_seqs(spark, folder), _motifs(spark, folder))
 
 
-def pattern_locate_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Places of every dictionary motif in every sequence."""
-    return index.motif_places(_seqs(spark, folder), _motifs(spark, folder))
+def _called_motifs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "tandem_repeats").select(clean_motif(F.col("motif")).alias("motif")).where("motif is not null").distinct()
+
+
+def called_motif_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences in every sequence of every motif as it was called, whatever its length."""
+    return patterns.motif_counts(_seqs(spark, folder), _called_motifs(spark, folder))
+
+
+def called_motif_interval(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the suffix array that begin with each motif as it was called, whatever its length."""
+    return index.motif_intervals(_seqs(spark, folder), _called_motifs(spark, folder), _index(spark, folder))
+
+
+def left_bases(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each character stands before each dictionary motif, by ranks in the BWT."""
+    built = _index(spark, folder)
+    return index.preceding_characters(built, index.motif_intervals(_seqs(spark, folder), _motifs(spark, folder), built))
 
 
 def suffix_array(spark: SparkSession, folder: str) -> DataFrame:
-    return index.suffix_array(_seqs(spark, folder))
+    return index.suffix_array(_index(spark, folder))
 
 
 def bwt(spark: SparkSession, folder: str) -> DataFrame:
-    return index.bwt(_seqs(spark, folder))
+    return index.bwt(_index(spark, folder))
 
 
 def occ_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return index.occurrence_ranks(_seqs(spark, folder))
+    return index.occurrence_ranks(_index(spark, folder))
 
 
 def occ_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
-    return index.occurrence_checkpoints(_seqs(spark, folder))
+    return index.occurrence_checkpoints(_index(spark, folder))
 
 
 def sampled_sa(spark: SparkSession, folder: str) -> DataFrame:
-    return index.sampled(_seqs(spark, folder))
+    return index.sampled(_index(spark, folder))
 
 
 def sa_interval(spark: SparkSession, folder: str) -> DataFrame:
-    return index.motif_intervals(_seqs(spark, folder), _motifs(spark, folder))
+    return index.motif_intervals(_seqs(spark, folder), _motifs(spark, folder), _index(spark, folder))
 
 
 def lcp_array(spark: SparkSession, folder: str) -> DataFrame:
-    return index.lcp_array(_seqs(spark, folder))
+    return index.lcp_array(_index(spark, folder))
 
 
 def lcp_plateaus(spark: SparkSession, folder: str) -> DataFrame:
-    return index.lcp_plateaus(_seqs(spark, folder))
+    return index.lcp_plateaus(_index(spark, folder))
 
 
 def sa_progressions(spark: SparkSession, folder: str) -> DataFrame:
-    return index.plateau_progressions(_seqs(spark, folder))
+    return index.plateau_progressions(_seqs(spark, folder), index=_index(spark, folder))
 
 
 def tier1_str(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,8 +201,8 @@ def window_periodicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def anchor_map(spark: SparkSession, folder: str) -> DataFrame:
     """Anchors of such windows that are unique in a read, and the first base behind them."""
-    windows = tiers.window_periodicity(_reads(spark, folder)).where(F.length("anchor") == tiers.ANCHOR)
-    placed = tiers.tier3_calls(_read_seqs(spark, folder), _reads(spark, folder))
+    windows = tiers.scored_windows(_reads(spark, folder))
+    placed = tiers.tier3_calls(_read_seqs(spark, folder), _reads(spark, folder), windows)
     return placed.join(windows.select("read_idx", "win_start", "anchor"), ["read_idx", "win_start"]).select("seq_ord", "anchor", F.col("start").alias("ref_start")).distinct()
 
 
@@ -235,7 +262,9 @@ QUERIES = {
         primitive_roots,
         pattern_count,
         pattern_locate,
-        pattern_locate_all,
+        called_motif_count,
+        called_motif_interval,
+        left_bases,
         suffix_array,
         bwt,
         occ_rank,
@@ -263,6 +292,8 @@ QUERIES = {
     )
 }
 
+QUERIES["pattern_locate_all"] = pattern_locate  # the name it had while the other was cut
+
 _TEXTS = "texts AS (SELECT seq_ord, chrom, coalesce(upper(seq), '') AS s, length(coalesce(seq, '')) AS n FROM fasta)"
 _SUFFIXES = f"""
 WITH {_TEXTS},
@@ -280,6 +311,12 @@ places AS (SELECT seq_ord, s, unnest(range(1, n + 1)) AS p FROM texts),
 kmers AS (SELECT seq_ord, p - 1 AS pos, k, substring(w, 1, CAST(k AS BIGINT)) AS motif FROM (SELECT seq_ord, p, substring(s, p, 6) AS w FROM places), (SELECT unnest(range(1, 7)) AS k) WHERE length(w) >= k),
 found AS (SELECT seq_ord, motif, pos FROM kmers JOIN (SELECT motif, k FROM motif_dictionary) USING (motif, k))"""
 
+_CALLED = f"""
+WITH {_TEXTS},
+called AS (SELECT DISTINCT motif, length(motif) AS k FROM (SELECT {CLEAN_SQL} AS motif FROM tandem_repeats) WHERE motif IS NOT NULL),
+words AS (SELECT seq_ord, p - 1 AS pos, substring(s, p, (SELECT max(k) FROM called)) AS w FROM (SELECT seq_ord, s, unnest(range(1, n + 1)) AS p FROM texts)),
+hits AS (SELECT seq_ord, c.motif, pos FROM (SELECT seq_ord, pos, k, left(w, k) AS motif FROM words, (SELECT DISTINCT k FROM called) WHERE length(w) >= k) JOIN called c USING (motif))"""
+
 
 def _tier1_sql(maximal: bool) -> str:
     return f"""
@@ -406,8 +443,11 @@ SQL = {
     "primitive_flag": f"SELECT rec_id, {root_sql('c')} = c AS is_primitive FROM (SELECT rec_id, {CLEAN_SQL} AS c FROM tandem_repeats)",
     "primitive_roots": f"SELECT rec_id, r AS root, CAST(length(r) AS INTEGER) AS root_length FROM (SELECT rec_id, {root_sql('c')} AS r FROM (SELECT rec_id, {CLEAN_SQL} AS c FROM tandem_repeats))",
     "pattern_count": f"{_KMERS} SELECT seq_ord, motif, count(*) AS n FROM found GROUP BY seq_ord, motif",
-    "pattern_locate": f"{_KMERS} SELECT * FROM found WHERE length(motif) >= 4",
+    "pattern_locate": f"{_KMERS} SELECT * FROM found",
     "pattern_locate_all": f"{_KMERS} SELECT * FROM found",
+    "called_motif_count": f"{_CALLED} SELECT seq_ord, motif, count(*) AS n FROM hits GROUP BY seq_ord, motif",
+    "called_motif_interval": f"{_CALLED}, {_SUFFIXES.strip().removeprefix('WITH ' + _TEXTS + ',').strip()} SELECT seq_ord, motif, min(rank) AS first_rank, max(rank) AS last_rank FROM hits JOIN (SELECT seq_ord, p AS pos, rank FROM suffixes) USING (seq_ord, pos) GROUP BY seq_ord, motif",
+    "left_bases": f"{_KMERS} SELECT f.seq_ord, motif, CASE WHEN pos = 0 THEN '$' ELSE substring(s, pos, 1) END AS ch, count(*) AS n FROM found f JOIN texts USING (seq_ord) GROUP BY ALL",
     "suffix_array": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes",
     "bwt": f"{_SUFFIXES} SELECT seq_ord, rank, CASE WHEN p = 0 THEN '$' ELSE substring(t, p, 1) END AS ch FROM suffixes",
     "sampled_sa": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes WHERE rank % 32 = 0",

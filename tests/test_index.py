@@ -1,6 +1,6 @@
 import random
 
-from motifmill.operators import index
+from motifmill.operators import index, patterns
 from motifmill.operators.kmers import sequences
 
 TEXTS = ["", None, "A", "ACACACACACAC", "N" * 70 + "ACGT", "".join(random.Random(1).choice("ACGT") for _ in range(300)), "ACGTTGCAAC" * 12, "AC$GT", "T" + "GAAGTTTATACGAAATCGGT" * 6 + "CC", ("GATTACAGATTACAGGCAT" * 5 + "TT") * 3]
@@ -89,8 +89,8 @@ def test_intervals_counts_and_places(spark):
     s = seqs(spark)
     motifs = spark.createDataFrame([("AC", 2), ("A", 1), ("GATTAC", 6), ("TTTTT", 5)], "motif string, k int")
     ranges = {(r["seq_ord"], r["motif"]): (r["first_rank"], r["last_rank"]) for r in index.motif_intervals(s, motifs).collect()}
-    counts = {(r["seq_ord"], r["motif"]): r["n"] for r in index.motif_counts(s, motifs).collect()}
-    places = {(r["seq_ord"], r["motif"], r["pos"]) for r in index.motif_places(s, motifs).collect()}
+    counts = {(r["seq_ord"], r["motif"]): r["n"] for r in patterns.motif_counts(s, motifs).collect()}
+    places = {(r["seq_ord"], r["motif"], r["pos"]) for r in patterns.motif_places(s, motifs).collect()}
     for i, t in enumerate(TEXTS):
         full, order = suffixes(t)
         for m in ("AC", "A", "GATTAC", "TTTTT"):
@@ -98,7 +98,7 @@ def test_intervals_counts_and_places(spark):
             assert ranges.get((i, m)) == ((hits[0], hits[-1]) if hits else None)
             assert counts.get((i, m), 0) == len(hits)
             assert {p for a, b, p in places if (a, b) == (i, m)} == {order[k] for k in hits}
-    assert index.motif_places(s, motifs.where("false")).count() == 0
+    assert patterns.motif_places(s, motifs.where("false")).count() == 0
 
 
 def test_character_counts(spark):
