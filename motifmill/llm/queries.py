@@ -46,26 +46,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark is not null").select("motif", "mark")
 
 
-def _repeat_groups(spark: SparkSession, folder: str, values: bool) -> DataFrame:
-    calls = table(spark, folder, "tandem_repeats").select("rec_id", "chrom", canonical_motif(F.col("motif")).alias("canonical"), "start_pos", "end_pos", "motif", "tier", "confidence", "called_at")
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One record for each repeat, with the best spelling, tier and confidence and the rows they come from."""
+    calls = table(spark, folder, "tandem_repeats").select("rec_id", "chrom", "start_pos", "end_pos", "motif", "tier", "confidence", "called_at").where("end_pos > start_pos and chrom is not null")
+    calls = computed_once(calls, canonical=canonical_motif(F.col("motif")))
+    spelled = F.col("motif") == F.col("canonical")
     fields = [
-        Field("motif", F.col("motif") if values else None, F.lit(True), ((F.col("motif") == F.col("canonical")).cast("int"),)),
-        Field("tier", F.col("tier") if values else None, F.col("tier").between(1, 3), (-F.col("tier"),)),
-        Field("confidence", F.col("confidence") if values else None, F.col("confidence").between(0, 1), (F.col("confidence"),)),
+        Field("motif", F.when(~spelled, F.col("motif")), F.lit(True), (spelled.cast("int"),), lambda best: F.coalesce(best["value"], F.col("canonical"))),
+        Field("tier", None, F.col("tier").between(1, 3), (-F.col("tier"),), read=lambda best: -best["p0"]),
+        Field("confidence", None, F.col("confidence").between(0, 1), (F.col("confidence"),), read=lambda best: best["p0"]),
     ]
     return survivors(calls, ["chrom", "canonical"], "start_pos", "end_pos", "rec_id", "called_at", fields)
 
 
-def p4_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One record for each repeat, with the best spelling, tier and confidence and the rows they come from."""
-    return _repeat_groups(spark, folder, values=True)
-
-
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of two or more calls of one repeat: the rows that give each field."""
     given = [F.coalesce(F.col(c), F.lit(-1)).cast("bigint").alias(c) for c in ("motif_from", "tier_from", "confidence_from")]
-    return _repeat_groups(spark, folder, values=False).where("n_rows > 1").select("first_id", *given)
-
+    return p4_records(spark, folder).where("n_rows > 1").select("first_id", *given)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,6 +104,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     forced = F.max((F.col("cut_kind") == "forced").cast("int"))
     return pieces.groupBy(F.col("record").alias("seq_ord")).agg(F.when(forced == 1, F.lit("forced")).otherwise(F.lit("free")).alias("cut_kind"))
 
+
 def p7_audit(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every record held against what is asked of them: forced cuts, and whether all hold the limit, cover
     the record, overlap as stated, are not inside one another, and have the record's own text."""
@@ -125,7 +123,6 @@ def p7_audit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, for each container size."""
     documents = table(spark, folder, "documents")
@@ -189,8 +186,8 @@ QUERIES = {
     "p6_classes": p6_classes,
     "p6_shared_bases": p6_shared_bases,
     "p7_found": p7_found,
-    "p7_audit": p7_audit,
     "p7_pieces": p7_pieces,
+    "p7_audit": p7_audit,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_mix": p9_mix,
@@ -253,10 +250,10 @@ SELECT seq_ord AS record, CAST(coalesce(length(seq), 0) AS BIGINT) AS n_bases, C
 FROM fasta LEFT JOIN (SELECT seq_ord, sum(step) AS shared_bases FROM steps GROUP BY seq_ord) USING (seq_ord)""",
     "p7_found": """
 SELECT seq_ord, CASE WHEN list_max(list_transform(regexp_split_to_array(upper(seq), 'N{10,}'), lambda s: length(s))) <= max_size - overlap_size THEN 'free' ELSE 'forced' END AS cut_kind
+FROM fasta, size_limits WHERE item_kind = 'fasta_seq' AND length(seq) > max_size""",
     "p7_audit": f"""
 SELECT seq_ord, CAST(length(seq) AS BIGINT) AS n_chars,
   CASE WHEN length(seq) > max_size THEN CAST(list_sum(list_transform(regexp_split_to_array(upper(seq), 'N{{{MIN_GAP},}}'), lambda s: greatest(0, (length(s) - 1) // (max_size - overlap_size)))) AS BIGINT) ELSE 0 END AS n_forced,
   true AS within_limit, true AS covered, true AS overlapping, true AS none_inside, true AS text_kept
 FROM fasta, size_limits WHERE item_kind = 'fasta_seq' AND seq IS NOT NULL""",
-FROM fasta, size_limits WHERE item_kind = 'fasta_seq' AND length(seq) > max_size""",
 }

@@ -7,16 +7,22 @@ combined on the map side, so repeated deliveries of one row cost nothing later.
 
 A key's axis is cut into blocks of ``2^block_bits`` positions which are swept apart from each other, so a hot
 key is spread. An interval that reaches into later blocks leaves a carry row there, and only the groups that
-lie across a block's end (at most two for each key and block) are chained over the blocks.
+lie across a block's end (at most two for each key and block) are chained over the blocks. Those lie in blocks
+that an interval enters or leaves, so only these few blocks are swept for the chains.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifmill.session import checkpointed, small
+
 BLOCK_BITS = 16
 
 
@@ -24,13 +30,15 @@ BLOCK_BITS = 16
 class Field:
     """A field to survive: rows where ``usable`` holds compete, greater ``priority`` first.
 
-    Without a ``value`` only the row it comes from is told.
+    ``value`` is carried along with the priorities; ``read`` makes the field of the winning (priorities ``p0``,
+    ``p1``, ..., ``value``) and the group's keys, so that what they tell already need not be carried.
     """
 
     name: str
     value: Column | None
     usable: Column
     priority: tuple[Column, ...] = ()
+    read: Callable[[Column], Column] = lambda best: best["value"]
 
     def candidate(self, timestamp: str, row_id: str) -> Column:
         value = [] if self.value is None else [self.value.alias("value")]
@@ -52,7 +60,7 @@ def survivors(df: DataFrame, keys: list[str], start: str, end: str, row_id: str,
     block = F.expr(f"shiftright(_s, {block_bits})")
     last_block = F.expr(f"shiftright(_e - 1, {block_bits})")
     spans = rows.groupBy(*keys, "_s", "_e").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), *merge).withColumn("_block", block)
-    carries = (
+    carries = checkpointed(
         valid.where(F.expr(f"shiftright({end} - 1, {block_bits}) > shiftright({start}, {block_bits})"))  # few rows: before anything is made of the keys
         .dropna(subset=keys)
         .select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
@@ -63,22 +71,29 @@ def survivors(df: DataFrame, keys: list[str], start: str, end: str, row_id: str,
     )
     swept = Window.partitionBy(*keys, "_block").orderBy("_s", F.desc("_carry"))
     reach = F.max("_e").over(swept.rowsBetween(Window.unboundedPreceding, -1))
-    groups = (
-        spans.withColumn("_carry", F.lit(0))
-        .unionByName(carries, allowMissingColumns=True)
-        .withColumn("_new", F.when(F.col("_s") < reach, 0).otherwise(1))
-        .withColumn("_group", F.sum("_new").over(swept.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_block", "_group")
-        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.min("_first").alias("_first"), F.max("_carry").alias("_head"), *merge)
-        .withColumn("_tail", F.col("_e") > F.shiftleft(F.col("_block") + 1, block_bits))
-    )
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("_new", F.when(F.col("_s") < reach, 0).otherwise(1))
+            .withColumn("_group", F.sum("_new").over(swept.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy(*keys, "_block", "_group")
+            .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.min("_first").alias("_first"), F.max("_carry").alias("_head"), *merge)
+            .withColumn("_tail", F.coalesce(F.col("_e") > F.shiftleft(F.col("_block") + 1, block_bits), F.lit(False)))
+        )
+
+    marked = spans.withColumn("_carry", F.lit(0)).unionByName(carries, allowMissingColumns=True).repartition(*keys, "_block")
+    entered = small(carries.select(*(F.col(k).alias(f"_in_{k}") for k in keys), F.explode(F.array(F.col("_block") - 1, F.col("_block"))).alias("_in__block")).distinct())
+    # null-safe, as is ``_tail``: the optimizer would put null checks below the exchange, which both uses then could not share
+    crossed = marked.join(entered, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_in_{k}")) for k in (*keys, "_block")))).select(*marked.columns)
     along = Window.partitionBy(*keys).orderBy("_block", "_group")
     across = (
-        groups.where("_head = 1 or _tail")
+        grouped(crossed)
+        .where("_head = 1 or _tail")
         .withColumn("_chain", F.sum(1 - F.col("_head")).over(along))
         .groupBy(*keys, "_chain")
         .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"), *merge)
     )
+    groups = grouped(marked)
     wanted = [*keys, "_s", "_e", "_n", "_first", *(f"_best_{n}" for n in best)]
     whole = groups.where("_head = 0 and not _tail").select(*wanted).unionByName(across.select(*wanted))
     return whole.select(
@@ -87,6 +102,6 @@ def survivors(df: DataFrame, keys: list[str], start: str, end: str, row_id: str,
         F.col("_e").alias("group_end"),
         F.col("_n").alias("n_rows"),
         F.col("_first").alias("first_id"),
-        *(F.col(f"_best_{f.name}.value").alias(f.name) for f in fields if f.value is not None),
+        *(F.when(F.col(f"_best_{f.name}").isNotNull(), f.read(F.col(f"_best_{f.name}"))).alias(f.name) for f in fields),
         *((-F.col(f"_best_{n}.neg_id")).alias(f"{n}_from") for n in best),
     )
