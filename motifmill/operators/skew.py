@@ -65,8 +65,8 @@ def pack(loads: list[tuple[object, float]], tasks: int) -> tuple[list[int], list
     return where, totals
 
 
-def place(df: DataFrame, keys: list[str], total_rows: int, tasks: int | None = None) -> Placement:
-    """Plan for ``df`` by the row counts of its keys.
+def place(df: DataFrame, keys: list[str], total_rows: int, tasks: int | None = None, loads: DataFrame | None = None) -> Placement:
+    """Plan for ``df`` by the row counts of its keys, or by ``loads`` (keys and ``_mm_load``) where they are known already.
 
     ``total_rows`` is an upper bound of the rows of ``df`` and sets a task's fair share. The counts are
     combined on the map side, so a hot key costs no task more than its own partition; the driver receives at
@@ -77,7 +77,7 @@ def place(df: DataFrame, keys: list[str], total_rows: int, tasks: int | None = N
     fair = max(1.0, total_rows / tasks)
     heavy_from = max(1.0, fair * _HEAVY_SHARE)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(tasks * _BUCKETS_PER_TASK))
-    loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_mm_load")).withColumn("_mm_big", F.col("_mm_load") >= heavy_from)
+    loads = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_mm_load")) if loads is None else loads).withColumn("_mm_big", F.col("_mm_load") >= heavy_from)
     units = loads.groupBy(
         F.when(~F.col("_mm_big"), bucket).alias("_mm_bucket"),
         *[F.when(F.col("_mm_big"), F.col(k)).alias(k) for k in keys],
@@ -108,15 +108,16 @@ def place(df: DataFrame, keys: list[str], total_rows: int, tasks: int | None = N
     )
 
 
-def skew_free_aggregate(df: DataFrame, keys: list[str], spread: Column, partial: list[Column], final: list[Column], total_rows: int, matching: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+def skew_free_aggregate(df: DataFrame, keys: list[str], spread: Column, partial: list[Column], final: list[Column], total_rows: int, matching: DataFrame | None = None, tasks: int | None = None, loads: DataFrame | None = None) -> DataFrame:
     """Aggregate ``df`` by ``keys``, optionally joined to ``matching``, with no task far larger than the others.
 
     ``partial`` aggregates the rows of one shard and ``final`` merges the shards of a key (as many rows as the
     key has shards). Rows with a null key are left out: a null is never a key. ``matching`` is joined from the
-    left, so keys without a match stay. Empty input gives an empty result.
+    left, so keys without a match stay. ``loads`` gives the rows of each key where the caller has them cheaper than
+    by counting ``df``. Empty input gives an empty result.
     """
     rows = df.dropna(subset=keys)
-    plan = place(rows, keys, total_rows, tasks)
+    plan = place(rows, keys, total_rows, tasks, loads)
     routed = plan.fragment(rows, spread)
     if matching is not None:
         routed = routed.join(plan.replicate(matching.dropna(subset=keys)), [ROUTE, *keys], "left")

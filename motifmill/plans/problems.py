@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifmill.functions.columns import computed_once
 from motifmill.functions.motifs import canonical_motif
 from motifmill.operators.intervals import gaps, periods
 from motifmill.operators.skew import skew_free_aggregate
@@ -32,9 +33,16 @@ def _reference_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return chroms.unionByName(motifs)
 
 
-def p1_key_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Per chrom and per canonical motif: calls, called bases, first position, and the matching reference size."""
-    total = table(spark, folder, "tandem_repeats").count()
+def _loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls by key: motifs are counted as they are spelled, and only each spelling is made canonical."""
+    calls = table(spark, folder, "tandem_repeats")
+    chroms = calls.where("chrom is not null").groupBy("chrom").agg(F.count(F.lit(1)).alias("_n")).select(F.lit("chrom").alias("key_kind"), F.col("chrom").alias("key_value"), F.col("_n").alias("_mm_load"))
+    spellings = calls.groupBy("motif").agg(F.count(F.lit(1)).alias("_n"))
+    motifs = computed_once(spellings, key_value=canonical_motif(F.col("motif"))).where("key_value is not null").groupBy("key_value").agg(F.sum("_n").alias("_mm_load"))
+    return chroms.unionByName(motifs.select(F.lit("motif").alias("key_kind"), "key_value", "_mm_load"))
+
+
+def _key_stats(spark: SparkSession, folder: str, total: int) -> DataFrame:
     return skew_free_aggregate(
         _calls_by_key(spark, folder),
         ["key_kind", "key_value"],
@@ -43,13 +51,19 @@ def p1_key_stats(spark: SparkSession, folder: str) -> DataFrame:
         [F.sum("n_calls").alias("n_calls"), F.sum("called_bases").alias("called_bases"), F.min("first_start").alias("first_start"), F.max("reference_size").alias("reference_size")],
         2 * total,
         _reference_sizes(spark, folder),
+        loads=_loads(spark, folder),
     )
 
 
+def p1_key_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Per chrom and per canonical motif: calls, called bases, first position, and the matching reference size."""
+    return _key_stats(spark, folder, table(spark, folder, "tandem_repeats").count())
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chroms and canonical motifs that hold 2 percent or more of all calls."""
     total = table(spark, folder, "tandem_repeats").count()
-    return p1_key_stats(spark, folder).where(F.col("n_calls") >= F.lit(MIN_SHARE * total)).select("key_kind", "key_value")
+    return _key_stats(spark, folder, total).where(F.col("n_calls") >= F.lit(MIN_SHARE * total)).select("key_kind", "key_value")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
