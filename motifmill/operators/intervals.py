@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifmill.operators.arrowstream import changes, whole_groups
+from motifmill.session import checkpointed
 
 REGION_BITS = 20
 _LEVEL_BITS = 5
@@ -182,7 +183,7 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, min_gap: int = 1, max
     Nothing comes out before the first or after the last interval, for entities with one period, and for an
     empty table. Touching intervals leave no gap. ``min_gap`` and ``max_gap`` bound the length of a gap.
     """
-    parts = coverage_parts(df, entity, start, end, region_bits).persist()
+    parts = checkpointed(coverage_parts(df, entity, start, end, region_bits).where("kind in ('gap', 'extent')"))
     before = Window.partitionBy("entity").orderBy("s")
     between = parts.where("kind = 'extent'").select(F.col("entity").alias(entity), F.lag("e").over(before).alias("gap_start"), F.col("s").alias("gap_end"))
     inner = parts.where("kind = 'gap'").select(F.col("entity").alias(entity), F.col("s").alias("gap_start"), F.col("e").alias("gap_end"))
@@ -193,7 +194,7 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, min_gap: int = 1, max
 
 def periods(df: DataFrame, entity: str, start: str, end: str, region_bits: int = REGION_BITS) -> DataFrame:
     """Maximal covered periods (entity, period_start, period_end): overlapping, nested and touching intervals merge."""
-    parts = coverage_parts(df, entity, start, end, region_bits).persist()
+    parts = checkpointed(coverage_parts(df, entity, start, end, region_bits).where("kind in ('period', 'edge')"))
     inner = parts.where("kind = 'period'").select(F.col("entity").alias(entity), F.col("s").alias("period_start"), F.col("e").alias("period_end"))
     ordered = Window.partitionBy("entity").orderBy("s")
     chained = (
