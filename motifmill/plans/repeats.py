@@ -6,6 +6,8 @@ those records, so the long-read detector places its windows on the reads themsel
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from motifmill.functions.motifs import canonical_motif, clean_motif, is_lyndon,
 from motifmill.operators import index, patterns, tiers
 from motifmill.operators.kmers import sequences
 from motifmill.plans.sql import CANONICAL_SQL, CLEAN_SQL, root_sql
+from motifmill.session import ensure_checkpoint_dir
+from motifmill.sources.fasta import read_fasta, read_long_reads
 from motifmill.sources.formats import BED_HEADER, VCF_HEADER, lines, longest
 from motifmill.sources.tables import table
 
@@ -251,6 +255,28 @@ def vcf_lines_all(spark: SparkSession, folder: str) -> DataFrame:
     return lines(_all(spark, folder), "vcf", per=["seq_ord"])
 
 
+def _scratch_text(frame: DataFrame, order: str) -> str:
+    """Writes the lines of ``value`` in order to a new folder beside the checkpoints, and names it."""
+    folder = f"{ensure_checkpoint_dir(frame.sparkSession)}/text-{uuid.uuid4().hex}"
+    frame.orderBy(order).select("value").write.text(folder)
+    return folder
+
+
+def fasta_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of ``fasta`` written as FASTA files, in lines of 60 bases, and read again."""
+    records = table(spark, folder, "fasta")
+    in_lines = F.regexp_replace(F.coalesce("seq", F.lit("")), "(.{60})", "$1\n")
+    header = F.concat_ws(" ", F.concat(F.lit(">"), "chrom"), F.nullif("descr", F.lit("")))
+    return read_fasta(spark, _scratch_text(records.withColumn("value", F.concat_ws("\n", header, in_lines)), "seq_ord")).select("seq_ord", "chrom", "seq")
+
+
+def fastq_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The long reads written as FASTQ files and read again."""
+    reads = _reads(spark, folder).withColumn("_read", F.coalesce("read_seq", F.lit("")))
+    four = F.concat_ws("\n", F.concat(F.lit("@"), "read_idx"), "_read", F.lit("+"), F.repeat(F.lit("I"), F.length("_read")))
+    return read_long_reads(spark, _scratch_text(reads.withColumn("value", four), "read_idx"), "fastq")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -289,6 +315,8 @@ QUERIES = {
         bed_lines,
         vcf_lines,
         vcf_lines_all,
+        fasta_file,
+        fastq_file,
     )
 }
 
@@ -482,4 +510,6 @@ SELECT seq_ord, chrom, start, "end", motif, copies, CAST("end" - start AS BIGINT
     "bed_lines": _lines_sql("tier, a, b, c", _BED_FIELDS, BED_HEADER),
     "vcf_lines": _lines_sql("length DESC, tier, a, b, c", _VCF_FIELDS, VCF_HEADER, TOP),
     "vcf_lines_all": _lines_sql("tier, a, b, c", _VCF_FIELDS, VCF_HEADER),
+    "fasta_file": "SELECT row_number() OVER (ORDER BY first_place) - 1 AS seq_ord, chrom, seq FROM (SELECT chrom, min(seq_ord) AS first_place, coalesce(arg_max(upper(coalesce(seq, '')), seq_ord), '') AS seq FROM fasta GROUP BY chrom)",
+    "fastq_file": "SELECT row_number() OVER (ORDER BY read_idx) - 1 AS read_idx, upper(read_seq) AS read_seq FROM long_reads WHERE length(read_seq) > 0",
 }

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from motifmill.operators import index, patterns
 from motifmill.operators.kmers import sequences
 
@@ -104,3 +106,69 @@ def test_intervals_counts_and_places(spark):
 def test_character_counts(spark):
     got = {(r["seq_ord"], r["ch"]): (r["total"], r["cumulative"]) for r in index.char_counts(index.indexed_text(seqs(spark))).collect()}
     assert got == {(i, ch): ((t or "").count(ch) + (ch == "$"), sum(x < ch for x in (t or "") + "$")) for i, t in enumerate(TEXTS) for ch in set((t or "") + "$")}
+
+
+def test_ranks_of_any_character_at_any_place(spark):
+    s = seqs(spark)
+    asked = [(i, ch, place) for i in range(len(TEXTS)) for ch in ("A", "N", "$", "Q") for place in (-3, 0, 1, 5, 64, 5000)] + [(0, None, 3), (None, "A", 3), (1, "A", None), (1, "A", 2), (1, "A", 2)]
+    wanted = spark.createDataFrame(asked, "seq_ord bigint, ch string, place bigint")
+    got = sorted(((r["seq_ord"], r["ch"], r["place"], r["occ"]) for r in index.rank_lookups(s, wanted).collect()), key=repr)
+    want = []
+    for i, ch, place in asked:
+        n = 0
+        if None not in (i, ch, place):
+            full, order = suffixes(TEXTS[i])
+            n = [full[p - 1] for p in order][: max(place, 0)].count(ch)
+        want.append((i, ch, place, n))
+    assert got == sorted(want, key=repr)
+
+
+def test_characters_before_motifs(spark):
+    s = seqs(spark)
+    motifs = spark.createDataFrame([("AC",), ("GATTAC",), ("G",)], "motif string")
+    built = index.build(s)
+    got = {(r["seq_ord"], r["motif"], r["ch"]): r["n"] for r in index.preceding_characters(built, index.motif_intervals(s, motifs, built)).collect()}
+    want = {}
+    for i, t in enumerate(TEXTS):
+        full = "$" + (t or "")
+        for m in ("AC", "GATTAC", "G"):
+            for p in range(1, len(full)):
+                if full.startswith(m, p):
+                    want[i, m, full[p - 1]] = want.get((i, m, full[p - 1]), 0) + 1
+    assert got == want
+
+
+def test_long_patterns(spark, monkeypatch):
+    s = seqs(spark)
+    long = [TEXTS[5][40:140], "ACGTTGCAAC" * 5, "N" * 33, "GATTACAGATTACAGGCAT", "AC$G", "TTT", "", None]
+    motifs = spark.createDataFrame([(m,) for m in [*long, "TTT"]], "motif string")
+
+    def check():
+        places = sorted((r["seq_ord"], r["motif"], r["pos"]) for r in patterns.motif_places(s, motifs).collect())
+        assert places == sorted((i, m, p) for i, t in enumerate(TEXTS) for m in long if m for p in range(len(t or "")) if t.startswith(m, p))
+        counts = {(r["seq_ord"], r["motif"]): r["n"] for r in patterns.motif_counts(s, motifs).collect()}
+        assert sum(counts.values()) == len(places) and set(counts) == {p[:2] for p in places}
+        return places
+
+    places = check()
+    ranges = {(r["seq_ord"], r["motif"]): (r["first_rank"], r["last_rank"]) for r in index.motif_intervals(s, motifs).collect()}
+    assert set(ranges) == {p[:2] for p in places} | {(7, "AC$G")}
+    for (i, m), (low, high) in ranges.items():
+        full, order = suffixes(TEXTS[i])
+        assert [k for k, p in enumerate(order) if full.startswith(m, p)] == list(range(low, high + 1))
+    monkeypatch.setattr(patterns, "DICTIONARY", 3)
+    check()
+
+
+def test_runs_of_a_million_leave_no_ties_and_no_large_task(spark):
+    n = 1_000_000
+    table = sequences(spark.createDataFrame([(0, "c", "AC" + "N" * n + "GT"), (1, "d", "GA" * 30_000 + "C")], "seq_ord bigint, chrom string, seq string"))
+    built = index.build(table)
+    assert not built.levels
+    ranks = {r["pos"]: r["rank"] for r in built.table.where("seq_ord = 0 and pos in (0, 1, 2, 3, 500000, 1000001, 1000002, 1000003, 1000004)").collect()}
+    # '$' < A < C < G < N, and of two runs of N the shorter is the lesser, as G ends it; then T
+    assert ranks == {1000004: 0, 0: 1, 1: 2, 1000002: 3, 1000001: 4, 500000: 4 + 500001, 3: 4 + 999998, 2: 4 + 999999, 1000003: n + 4}
+    sizes = [r["count"] for r in built.table.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    lcp = {(r["seq_ord"], r["pos"]): r["lcp"] for r in index.lcp_array(built).where("pos in (2, 3, 500000)").collect()}
+    assert lcp[0, 2] == n - 1 and lcp[0, 500000] == 1000002 - 500001
