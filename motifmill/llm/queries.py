@@ -85,6 +85,11 @@ def p6_shared_bases(spark: SparkSession, folder: str) -> DataFrame:
     return shared_bases(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN)
 
 
+def p6_span_bases(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, from the maximal spans of all pairs."""
+    return shared_bases(table(spark, folder, "fasta"), "seq_ord", "seq", SPAN, by_spans=True)
+
+
 def _limits(spark: SparkSession, folder: str, kind: str) -> list[tuple[str, int, int]]:
     rows = table(spark, folder, "size_limits").where(F.col("item_kind").like(kind)).orderBy("item_kind").collect()  # a handful of settings
     return [(r["item_kind"], r["max_size"], r["overlap_size"]) for r in rows]
@@ -185,6 +190,7 @@ QUERIES = {
     "p6_spans": p6_spans,
     "p6_classes": p6_classes,
     "p6_shared_bases": p6_shared_bases,
+    "p6_span_bases": p6_span_bases,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p7_audit": p7_audit,
@@ -231,6 +237,12 @@ WITH stretches AS (
 ),
 clean AS (SELECT * FROM stretches WHERE length(translate(stretch, 'ACGT', '')) = 0)"""
 
+_SHARED_BASES = f"""{_STRETCHES},
+shared AS (SELECT * FROM clean WHERE stretch IN (SELECT stretch FROM clean GROUP BY stretch HAVING count(DISTINCT seq_ord) > 1)),
+steps AS (SELECT seq_ord, least({SPAN}, coalesce(lead(p) OVER (PARTITION BY seq_ord ORDER BY p) - p, {SPAN})) AS step FROM shared)
+SELECT seq_ord AS record, CAST(coalesce(length(seq), 0) AS BIGINT) AS n_bases, CAST(coalesce(shared_bases, 0) AS BIGINT) AS shared_bases
+FROM fasta LEFT JOIN (SELECT seq_ord, sum(step) AS shared_bases FROM steps GROUP BY seq_ord) USING (seq_ord)"""
+
 SQL = {
     "p2_found": f"""
 SELECT chrom, CAST(rank_no AS INTEGER) AS rank_no, rec_id
@@ -243,11 +255,14 @@ WHERE rank_no <= {TOP_N}""",
     "p6_found": f"""{_STRETCHES}
 SELECT DISTINCT a.seq_ord AS seq_a, b.seq_ord AS seq_b FROM clean a JOIN clean b USING (stretch) WHERE a.seq_ord < b.seq_ord""",
     "p6_classes": f"SELECT seq_ord AS record, min(seq_ord) OVER (PARTITION BY upper(seq)) AS representative, regexp_matches(seq, '[ACGTacgt]{{{SPAN}}}') AS holds_span FROM fasta WHERE seq IS NOT NULL",
-    "p6_shared_bases": f"""{_STRETCHES},
-shared AS (SELECT * FROM clean WHERE stretch IN (SELECT stretch FROM clean GROUP BY stretch HAVING count(DISTINCT seq_ord) > 1)),
-steps AS (SELECT seq_ord, least({SPAN}, coalesce(lead(p) OVER (PARTITION BY seq_ord ORDER BY p) - p, {SPAN})) AS step FROM shared)
-SELECT seq_ord AS record, CAST(coalesce(length(seq), 0) AS BIGINT) AS n_bases, CAST(coalesce(shared_bases, 0) AS BIGINT) AS shared_bases
-FROM fasta LEFT JOIN (SELECT seq_ord, sum(step) AS shared_bases FROM steps GROUP BY seq_ord) USING (seq_ord)""",
+    "p6_spans": f"""{_STRETCHES},
+chosen AS (SELECT seq_ord FROM (SELECT seq_ord, min(seq_ord) OVER (PARTITION BY upper(seq)) AS representative FROM fasta WHERE seq IS NOT NULL) WHERE seq_ord = representative),
+held AS (SELECT seq_ord, p, stretch FROM clean JOIN chosen USING (seq_ord)),
+met AS (SELECT a.seq_ord AS record_a, b.seq_ord AS record_b, a.p AS pa, b.p AS pb FROM held a JOIN held b USING (stretch) WHERE a.seq_ord < b.seq_ord),
+islands AS (SELECT *, pa - row_number() OVER (PARTITION BY record_a, record_b, pb - pa ORDER BY pa) AS island FROM met)
+SELECT record_a, record_b, min(pa) - 1 AS start_a, min(pb) - 1 AS start_b, count(*) + {SPAN - 1} AS bases FROM islands GROUP BY record_a, record_b, pb - pa, island""",
+    "p6_shared_bases": _SHARED_BASES,
+    "p6_span_bases": _SHARED_BASES,
     "p7_found": """
 SELECT seq_ord, CASE WHEN list_max(list_transform(regexp_split_to_array(upper(seq), 'N{10,}'), lambda s: length(s))) <= max_size - overlap_size THEN 'free' ELSE 'forced' END AS cut_kind
 FROM fasta, size_limits WHERE item_kind = 'fasta_seq' AND length(seq) > max_size""",

@@ -300,15 +300,21 @@ def shared_stretches(df: DataFrame, record: str, text: str, span: int = 100, k:
     return stretches.join(spread.where("_least < _most").select("w1", "w2"), ["w1", "w2"], "left_semi").select("record", "start")
 
 
-def shared_bases(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50) -> DataFrame:
+def shared_bases(df: DataFrame, record: str, text: str, span: int = 100, k: int = 50, by_spans: bool = False) -> DataFrame:
     """(record, n_bases, shared_bases): for each record the bases in stretches that also occur in another record.
 
     Every record comes out; null and empty texts have 0 of 0 bases. A record with exact copies shares all its
-    clean stretches of ``span`` or more bases.
+    clean stretches of ``span`` or more bases. ``by_spans`` unites the maximal spans of all pairs; otherwise the same
+    is told without pairs, by the stretches that two records have.
     """
     classes = checkpointed(exact_classes(df, record, text))
-    found = shared_stretches(_representatives(df, classes, record), record, text, span, k)
-    covered = found.select(F.col("record").cast("string").alias("owner"), F.col("start").alias("s"), (F.col("start") + span).alias("e"))
+    if by_spans:
+        spans = maximal_spans(df, record, text, span, k)
+        sides = [spans.select(F.col(f"record_{s}").cast("string").alias("owner"), F.col(f"start_{s}").alias("s"), (F.col(f"start_{s}") + F.col("bases")).alias("e")) for s in "ab"]
+        covered = sides[0].unionByName(sides[1])
+    else:
+        found = shared_stretches(_representatives(df, classes, record), record, text, span, k)
+        covered = found.select(F.col("record").cast("string").alias("owner"), F.col("start").alias("s"), (F.col("start") + span).alias("e"))
     by_match = periods(covered, "owner", "s", "e").groupBy("owner").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("_matched"))
     copies = classes.groupBy("representative").agg(F.count(F.lit(1)).alias("_copies"))
     clean = F.aggregate(F.regexp_extract_all(F.upper(text), F.lit(f"([ACGT]{{{span},}})"), F.lit(1)), F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))

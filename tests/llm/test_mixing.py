@@ -64,3 +64,39 @@ def test_empty_and_missing_sources(spark):
     assert empty.copies.count() == 0 and [r["actual_share"] for r in empty.shares.collect()] == [0.0]
     one = mix_sources(spark.createDataFrame([(1, "a", 10, "")], SCHEMA), "id", "source", "size", [Target("a", 0.5, 2), Target("b", 0.5, 2)])
     assert one.copies.count() == 2 and {r["source"]: r["actual_share"] for r in one.shares.collect()} == {"a": 1.0, "b": 0.0}
+
+
+@pytest.mark.parametrize("share", [0.9, 0.3, 0.02])
+def test_a_smaller_mix_keeps_the_shares(spark, share):
+    targets = [Target("big", 0.5, 1), Target("mid", 0.3, 3), Target("small", 0.2, 4)]
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    most = sum(r["expected_size"] for r in mix_sources(df, "id", "source", "size", targets).shares.collect())
+    report = mix_sources(df, "id", "source", "size", targets, total_size=share * most).shares.collect()
+    for r in report:
+        assert math.isclose(r["expected_size"], share * most * r["target_share"])
+        assert abs(r["size_mixed"] - r["expected_size"]) < 0.02 * r["expected_size"] + 2000
+        assert r["most_copies"] <= r["max_repeats"] and r["poisson_mean"] < 700
+    with pytest.raises(ValueError, match="allow a mix of"):
+        mix_sources(df, "id", "source", "size", targets, total_size=1.01 * most)
+
+
+def test_counts_of_every_source_are_drawn(spark):
+    targets = [Target("big", 0.5, 1), Target("mid", 0.3, 3), Target("small", 0.2, 4)]
+    mix = mix_sources(spark.createDataFrame(corpus(), SCHEMA), "id", "source", "size", targets, use_up=False)
+    for r in mix.shares.collect():
+        assert abs(r["actual_share"] - r["target_share"]) < 0.01 and r["poisson_mean"] <= r["max_repeats"] + 1e-6
+        assert 0 < r["n_copies"] < r["max_repeats"] * r["n_records"]
+    drawn = {}
+    for r in mix.copies.collect():
+        if r["source"] == "small":
+            drawn[r["record"]] = drawn.get(r["record"], 0) + 1
+    assert set(drawn.values()) == {1, 2, 3, 4}
+
+
+def test_sizes_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    sized = spark.createDataFrame(corpus(), SCHEMA).withColumn("size", F.udf(lambda x: x, "bigint")("size"))
+    mix = mix_sources(sized, "id", "source", "size", [Target("big", 0.5, 1), Target("mid", 0.5, 2)])
+    for frame in (mix.copies, mix.shares):
+        assert "EvalPython" not in frame._jdf.queryExecution().executedPlan().toString()

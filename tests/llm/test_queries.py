@@ -4,7 +4,7 @@ from test_entry import compare
 import __spark_entry__ as contract
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p3_terms", "p4_found", "p4_records", "p6_found", "p6_shared_bases", "p7_found", "p7_audit"])
+@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p3_terms", "p4_found", "p4_records", "p6_found", "p6_spans", "p6_shared_bases", "p6_span_bases", "p7_found", "p7_audit"])
 def test_query_agrees_with_sql(spark, data, name):
     compare(spark, data, name)
 

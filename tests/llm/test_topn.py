@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
+from motifmill.llm import topn
 from motifmill.llm.topn import top_n_per_group
 
 SCHEMA = "g string, score bigint, a bigint, b bigint, rank_no string"
@@ -34,3 +36,27 @@ def test_nan_and_empty(spark):
     df = spark.createDataFrame([("g", float("nan"), 1), ("g", 2.5, 2), ("h", None, 3)], "g string, score double, id bigint")
     assert [(r["id"], r["rank_no"]) for r in top_n_per_group(df, "g", "score", ["id"], 3).collect()] == [(2, 1)]
     assert top_n_per_group(df.where("false"), "g", "score", ["id"], 3).count() == 0
+
+
+@pytest.mark.parametrize("hot_groups", [0, 1, 100])
+def test_hot_groups_or_none(spark, hot_groups):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "warm", "warm", f"g{rng.randint(0, 300)}"]), rng.choice([7, 7, 7, *range(8)]), rng.choice([None, 1]), i, "x") for i in range(3000)]
+    got = top_n_per_group(spark.createDataFrame(rows, SCHEMA).repartition(9), "g", "score", ["a", "b"], 4, hot_groups=hot_groups).collect()
+    assert sorted(((r["g"], r["rank_no"], r["score"], r["a"], r["b"]) for r in got), key=repr) == expected(rows, 4)
+
+
+def test_a_task_with_many_groups_holds_few_rows(monkeypatch):
+    monkeypatch.setattr(topn, "_FLUSH", 100)
+    batches = [pa.RecordBatch.from_pydict({"g": [f"g{i}" for i in range(j, j + 60)], "score": [1] * 60, "a": list(range(60))}) for j in range(0, 6000, 60)]
+    out = list(topn._local_best("g", "score", ["a"], 2)(iter(batches)))
+    assert len(out) > 40 and sum(b.num_rows for b in out) == 6000
+    one = [pa.RecordBatch.from_pydict({"g": ["h"] * 60, "score": list(range(j, j + 60)), "a": [0] * 60}) for j in range(0, 6000, 60)]
+    (kept,) = topn._local_best("g", "score", ["a"], 2)(iter(one))
+    assert kept.column("score").to_pylist() == [5999, 5998] and kept.column("_bound").to_pylist() == [None, 5998]
+
+
+def test_the_table_is_read_once_and_only_thinned_rows_go_on(spark):
+    df = spark.createDataFrame([("hot", i, 0, i, "") for i in range(4000)] + [(f"g{i}", 1, 0, i, "") for i in range(50)], SCHEMA).repartition(8)
+    plan = top_n_per_group(df, "g", "score", ["a", "b"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "BroadcastHashJoin" in plan
