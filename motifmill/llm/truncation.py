@@ -18,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifmill.functions.columns import computed_once
+
 TRAIN_TEXTS = 12_000
 #: Weights in the fit: given texts, cuts, and cuts behind points that end nothing.
 WEIGHTS = {"given": 1.0, "cut": 1.0, "trap": 0.2}
@@ -171,7 +173,8 @@ def fit(df: DataFrame, record: str, source: str, text: str, train_texts: int = T
     hashing = HashingTF(numFeatures=_FEATURES, binary=True, inputCol="_features", outputCol="features")
     given = texts.select(text, "_fold", _at_limit(F.col(text)).alias("_at"), F.lit(0.0).alias("label"), F.lit(WEIGHTS["given"]).alias("_weight"))
     made = given.unionByName(_cuts(texts, record, text, seed)).withColumn("_doubtful", (F.col("label") == 0) & (F.col("_at") != "no"))
-    data = hashing.transform(with_features(made, text, F.col("_at"))).select("features", "label", "_fold", "_doubtful", "_weight").persist()
+    data = hashing.transform(with_features(made, text, F.col("_at"))).select("features", "label", "_fold", "_doubtful", "_weight")
+    data = data.coalesce(df.sparkSession.sparkContext.defaultParallelism).persist()  # few rows, read in every step of the fit: a partition for each core
     regression = LogisticRegression(regParam=3e-3, maxIter=25, weightCol="_weight")
     screen = regression.copy({regression.maxIter: 12})
     # a text that looks cut to a model that has not seen it is no example of an intact one
@@ -199,6 +202,4 @@ def score(df: DataFrame, fitted: TruncationModel, record: str, source: str, text
     featured = hashing.transform(with_features(rows, text, _at_limit(F.col(text))).withColumn("_empty", F.length(F.trim(F.col(text), F.lit(_BLANKS))) == 0))
     probability = F.when(F.col("_empty"), F.lit(0.0)).otherwise(vector_to_array("probability")[1])
     scored = fitted.model.transform(featured.select(record, source, "_empty", "features"))
-    # never NaN, so rand() is never drawn; but the optimizer leaves such a column where it is, while it would
-    # put a filter on a plain one below all projections and repeat their expressions there many times over
-    return scored.select(record, source, F.nanvl(probability, F.rand(0)).alias("probability")).select(record, source, (F.col("probability") > 0.5).alias("truncated"), "probability")
+    return computed_once(scored.select(record, source, "_empty", "probability"), _p=probability).select(record, source, (F.col("_p") > 0.5).alias("truncated"), F.col("_p").alias("probability"))
