@@ -23,14 +23,13 @@ from motifmill.operators.arrowstream import changes, whole_groups
 from motifmill.operators.kmers import CHUNK, chunks
 from motifmill.operators.patterns import motif_places
 from motifmill.operators.runs import period_runs
-from motifmill.session import checkpointed, shuffle_width
+from motifmill.session import BROADCAST_ROWS, checkpointed, shuffle_width, written
 
 PREFIX = 16
 _PERIOD = 8
 _BLOCK = 4096
 _ENDS_HIGH = 1 << 62  # a period that a greater character ends: the longer, the lesser
 _SIGN = np.uint64(1 << 63)
-_LETTERS = pa.array([chr(i) for i in range(256)])
 
 
 def indexed_text(seqs: DataFrame) -> DataFrame:
@@ -63,7 +62,7 @@ def _suffix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tail[low : high + 1] = _ENDS_HIGH - length if run["ends_high"] else length
             before = np.concatenate([[ord(left) if left else ord("$")], codes[: body - 1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(body, owner, dtype=np.int64)), pa.array(base + np.arange(body)), pa.array(packed[:body]), pa.array(packed[8 : 8 + body]), pa.array(tail), _LETTERS.take(pa.array(np.minimum(before, 255)))],
+                [pa.array(np.full(body, owner, dtype=np.int64)), pa.array(base + np.arange(body)), pa.array(packed[:body]), pa.array(packed[8 : 8 + body]), pa.array(tail), pa.array(before.astype(np.int32))],
                 ["seq_ord", "pos", "k0", "k1", "tail", "ch"],
             )
 
@@ -78,7 +77,7 @@ def _common_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
 
 
-_RANKED = "part int, seq_ord bigint, pos bigint, at bigint, ties bigint, k0 bigint, k1 bigint, tail bigint, lcp bigint, ch string"
+_RANKED = "part int, seq_ord bigint, pos bigint, at bigint, ties bigint, k0 bigint, k1 bigint, tail bigint, lcp bigint, ch int"
 
 
 def _rank_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,33 +130,35 @@ def build(seqs: DataFrame) -> Index:
     periodic = period_runs(texts, 1, _PERIOD, min_length=PREFIX).select("seq_ord", "a", (F.col("z") + F.col("p")).alias("e"), (F.col("following") > expected).alias("ends_high"))
     within = periodic.select("seq_ord", F.struct("a", "e", "ends_high").alias("_run"), F.explode(F.sequence(F.floor(F.col("a") / CHUNK), F.floor((F.col("e") - PREFIX) / CHUNK))).alias("_no"))
     of_chunk = within.groupBy("seq_ord", (F.col("_no") * CHUNK).alias("base")).agg(F.collect_list("_run").alias("_runs"))  # no more than a chunk has room for
-    keys = chunks(texts, PREFIX).join(of_chunk, ["seq_ord", "base"], "left").select("seq_ord", "base", "body_len", "left", "chunk", "_runs").mapInArrow(_suffix_keys, "seq_ord bigint, pos bigint, k0 bigint, k1 bigint, tail bigint, ch string")
+    keys = chunks(texts, PREFIX).join(of_chunk, ["seq_ord", "base"], "left").select("seq_ord", "base", "body_len", "left", "chunk", "_runs").mapInArrow(_suffix_keys, "seq_ord bigint, pos bigint, k0 bigint, k1 bigint, tail bigint, ch int")
     order = ["seq_ord", "k0", "k1", "tail"]
     sorted_keys = keys.repartitionByRange(shuffle_width(seqs.sparkSession), *order).sortWithinPartitions(*order)
-    parts = checkpointed(sorted_keys.mapInArrow(_rank_sorted, _RANKED))
+    parts = written(sorted_keys.mapInArrow(_rank_sorted, _RANKED))
     earlier = Window.partitionBy("seq_ord").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("seq_ord", "part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.sum("_n").over(earlier)).where("_offset > 0").drop("_n")  # at most one sequence goes on into a partition
-    base = parts.join(F.broadcast(offsets), ["seq_ord", "part"], "left").withColumn("rank", F.col("at") + F.coalesce("_offset", F.lit(0))).withColumn("class_rank", F.col("rank")).drop("part", "at", "_offset")
+    base = parts.join(F.broadcast(offsets), ["seq_ord", "part"], "left").withColumn("rank", F.col("at") + F.coalesce("_offset", F.lit(0))).withColumn("class_rank", F.col("rank")).withColumn("ch", F.char("ch")).drop("part", "at", "_offset")
     columns = ["seq_ord", "rank", "pos", "ch", "k0", "k1", "tail", "class_rank", "lcp"]
     untied, classes = base.where("ties = 1").select(*columns), base.where("ties > 1")
     level = checkpointed(classes.select("seq_ord", "pos", "rank", _agree().alias("agree")))
     levels, settled, latest = [], None, None
-    first = base.select("seq_ord", "pos", "rank", _agree().alias("agree")).repartition("seq_ord", "pos").persist()  # read in each round
-    while not level.isEmpty():
+    ranks_of = base.select("seq_ord", "pos", "rank", _agree().alias("agree")).persist()  # read in each round
+    while n := level.count():
         levels.append(level)
-        later = level.withColumn("_next", F.col("pos") + F.col("agree")).join(first.select("seq_ord", F.col("pos").alias("_next"), F.col("rank").alias("_later"), F.col("agree").alias("_more")), ["seq_ord", "_next"], "left")
+        wanted = level.select("seq_ord", (F.col("pos") + F.col("agree")).alias("pos")).distinct()
+        later = ranks_of.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, ["seq_ord", "pos"])
         if latest is not None:
-            newer = latest.select("seq_ord", F.col("pos").alias("_next"), F.col("rank").alias("_newer"), F.col("agree").alias("_newer_more"))
-            later = later.join(newer, ["seq_ord", "_next"], "left").withColumns({"_later": F.coalesce("_newer", "_later"), "_more": F.coalesce("_newer_more", "_more")})
+            newer = latest.select("seq_ord", "pos", F.col("rank").alias("_newer"), F.col("agree").alias("_more"))
+            later = later.join(newer, ["seq_ord", "pos"], "left").select("seq_ord", "pos", F.coalesce("_newer", "rank").alias("rank"), F.coalesce("_more", "agree").alias("agree"))
+        later = later.select("seq_ord", F.col("pos").alias("_next"), F.col("rank").alias("_later"), F.col("agree").alias("_more"))
         group = Window.partitionBy("seq_ord", "rank").orderBy(F.asc_nulls_first("_later"))
-        broken = later.withColumn("_step", F.rank().over(group) - 1).withColumn("_ties", F.count(F.lit(1)).over(group.rangeBetween(0, 0)))
+        broken = level.withColumn("_next", F.col("pos") + F.col("agree")).join(later, ["seq_ord", "_next"], "left").withColumn("_step", F.rank().over(group) - 1).withColumn("_ties", F.count(F.lit(1)).over(group.rangeBetween(0, 0)))
         found = checkpointed(broken.select("seq_ord", "pos", (F.col("rank") + F.col("_step")).cast("bigint").alias("rank"), "_ties", (F.col("agree") + F.coalesce("_more", F.lit(0))).alias("agree")))
         ranks = found.select("seq_ord", "pos", "rank", "agree")
         latest = ranks if settled is None else ranks.unionByName(settled)
         alone = found.where("_ties = 1").select("seq_ord", "pos", "rank", "agree")
         settled = alone if settled is None else settled.unionByName(alone)
         level = found.where("_ties > 1").select("seq_ord", "pos", "rank", "agree")
-    first.unpersist()
+    ranks_of.unpersist()
     if settled is None:
         return Index(untied, untied.where("false"), levels)
     tied = checkpointed(classes.drop("rank", "ties").join(settled.select("seq_ord", "pos", "rank"), ["seq_ord", "pos"]).select(*columns))

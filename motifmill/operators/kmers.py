@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from motifmill.session import shuffle_width
 
 CHUNK = 1 << 16
+_CUT = 1 << 23  # characters of chunks that leave a task in one batch
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -51,29 +52,42 @@ def sequences(df: DataFrame, seq: str = "seq", keep: tuple[str, ...] = ("seq_ord
     return df.select(*keep, text.alias("seq"), F.length(text).alias("n"))
 
 
+def _cut(size: int, halo: int, keep: list[str]):
+    columns = [*keep, "n", "base", "body_len", "left", "chunk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, parts, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                same = batch.select([*keep, "n"]).take(pa.array(of, pa.int64()))
+                rest = zip(*parts) if parts else [()] * 4
+                return pa.RecordBatch.from_arrays([*same.columns, *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.int32(), pa.string(), pa.string())))], columns)
+
+            for i, text in enumerate(batch.column(len(keep) + 1).to_pylist()):
+                for base in range(0, len(text), size):
+                    chunk = text[base : base + size + halo]
+                    of.append(i)
+                    parts.append((base, min(size, len(text) - base), text[base - 1 : base] if base else "", chunk))
+                    held += len(chunk)
+                    if held >= _CUT:
+                        yield made()
+                        of, parts, held = [], [], 0
+            yield made()
+
+    return run
+
+
 def chunks(seqs: DataFrame, halo: int, size: int = CHUNK, keep: tuple[str, ...] = ("seq_ord",), spread: bool = True) -> DataFrame:
     """(keep..., n, base, body_len, left, chunk): pieces of ``size`` characters with the next ``halo`` ones.
 
-    ``left`` is the character before the piece, '' at the start. The text is cut in one pass, so a record of any
-    length costs linear time, and later offsets are within a chunk. Empty records have no chunk. With ``spread``
-    the pieces go to all tasks by their place, so that neither few input files nor one long record holds the work up.
+    ``left`` is the character before the piece, '' at the start. A record of any length is cut in linear time, and
+    later offsets are within a chunk. Empty records have no chunk. With ``spread`` the pieces go to all tasks by
+    their place, so that neither few input files nor one long record holds the work up.
     """
-    if halo > size:
-        raise ValueError("the halo must not be longer than a chunk")
-    parts = F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
-    cut = (
-        seqs.where("n > 0")
-        .select(*keep, "n", parts.alias("_parts"))
-        .select(*keep, "n", "_parts", F.posexplode("_parts").alias("_no", "_body"))
-        .select(
-            *keep,
-            "n",
-            (F.col("_no").cast("bigint") * size).alias("base"),
-            F.length("_body").alias("body_len"),
-            F.coalesce(F.right(F.get("_parts", F.col("_no") - 1), F.lit(1)), F.lit("")).alias("left"),
-            F.concat("_body", F.coalesce(F.left(F.get("_parts", F.col("_no") + 1), F.lit(halo)), F.lit(""))).alias("chunk"),
-        )
-    )
+    rows = seqs.where("n > 0").select(*keep, "n", "seq")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    cut = rows.mapInArrow(_cut(size, halo, list(keep)), ", ".join([*fields, "base bigint, body_len int, left string, chunk string"]))
     # a given number, as adaptive execution would merge small but costly partitions again
     return cut.repartition(shuffle_width(seqs.sparkSession), *keep, "base") if spread else cut
 

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motifmill.functions.motifs import least_rotation, primitive_root
-from motifmill.operators.kmers import fingerprints, kmer_fingerprints
+from motifmill.operators.intervals import periods
+from motifmill.operators.kmers import chunks, fingerprints, kmer_fingerprints
 from motifmill.operators.runs import period_runs
 from motifmill.session import checkpointed, shuffle_width, small
 
+_AREA_BITS = 16
+_NEAR = 1024  # length of the pieces of text in which anchors are compared
 REPEAT_COLUMNS = ["seq_ord", "chrom", "start", "end", "motif", "copies", "length", "tier", "confidence"]
 #: Fixed values of the long-read detector: window and step, periods tried, score to pass, anchor length, shortest read.
 WINDOW, STEP, PERIOD_FROM, PERIOD_TO, MIN_SCORE, ANCHOR, MIN_READ = 500, 100, 10, 165, 0.7, 50, 1000
@@ -142,13 +145,18 @@ def _anchor_fingerprint(anchors: pd.Series) -> pd.DataFrame:
 
 
 def anchor_map(seqs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(h1, h2, seq_ord, hit): anchors that occur exactly once in a sequence, and where.
+    """(anchor, seq_ord, hit): anchors that occur exactly once in a sequence, and where.
 
-    Anchors and reference k-mers are joined on 128-bit fingerprints. The first window of a read has no full anchor.
+    Anchors and reference k-mers are joined on 128-bit fingerprints, and the text of those that meet is compared. The
+    first window of a read has no full anchor.
     """
-    wanted = windows.where(F.length("anchor") == ANCHOR).select("anchor").distinct().select(_anchor_fingerprint("anchor").alias("_f")).select("_f.h1", "_f.h2")
-    places = kmer_fingerprints(seqs.select("seq_ord", "seq", "n"), ANCHOR)
-    return places.join(wanted, ["h1", "h2"]).groupBy("h1", "h2", "seq_ord").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("hit")).where("_n = 1").drop("_n")
+    anchors = windows.where(F.length("anchor") == ANCHOR).select("anchor").distinct()
+    wanted = anchors.select("anchor", _anchor_fingerprint("anchor").alias("_f")).select("anchor", "_f.h1", "_f.h2")
+    bases = seqs.select("seq_ord", "seq", "n")
+    met = kmer_fingerprints(bases, ANCHOR).join(wanted, ["h1", "h2"]).withColumn("base", F.floor(F.col("pos") / _NEAR) * _NEAR)
+    text = chunks(bases, ANCHOR - 1, _NEAR).select("seq_ord", "base", "chunk")
+    same = met.join(text, ["seq_ord", "base"]).where(F.substring("chunk", (F.col("pos") - F.col("base") + 1).cast("int"), F.lit(ANCHOR)) == F.col("anchor"))
+    return same.groupBy("anchor", "seq_ord").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("hit")).where("_n = 1").drop("_n")
 
 
 def scored_windows(reads: DataFrame) -> DataFrame:
@@ -159,7 +167,7 @@ def scored_windows(reads: DataFrame) -> DataFrame:
 def tier3_calls(seqs: DataFrame, reads: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Calls of single windows, placed on every sequence where the window's anchor is unique."""
     windows = scored_windows(reads) if windows is None else windows
-    placed = windows.withColumn("_f", _anchor_fingerprint("anchor")).select("*", "_f.h1", "_f.h2").join(anchor_map(seqs, windows), ["h1", "h2"])
+    placed = windows.join(anchor_map(seqs, windows), "anchor")
     start = F.col("hit") + ANCHOR
     return placed.select("seq_ord", "read_idx", "win_start", *_repeat(start, start + F.length("motif") * F.col("copies"), F.col("motif"), F.col("copies"), 3, F.col("confidence"), (start, F.lit(""), start + F.length("motif") * F.col("copies"))))
 
@@ -169,11 +177,16 @@ def consolidate(calls: DataFrame) -> DataFrame:
 
     The copies of merged calls are halved pairwise, as a running average of two would: the first of m calls weighs
     2^-(m-1), the i-th 2^-(m-i+1). The confidence is the least. Ties in order go by read and window.
+
+    Calls of different covered periods of a sequence never merge, so each period is merged by itself.
     """
-    by_place = Window.partitionBy("seq_ord").orderBy("start", "end", "read_idx", "win_start")
-    stretch = Window.partitionBy("seq_ord", "_stretch").orderBy("start", "end", "read_idx", "win_start")
+    block = lambda c: F.expr(f"shiftright({c}, {_AREA_BITS})")
+    covered = periods(calls, "seq_ord", "start", "end").select(F.col("seq_ord").cast("bigint").alias("seq_ord"), F.col("period_start").alias("_area"), "period_end", F.explode(F.sequence(block("period_start"), block("period_end - 1"))).alias("_block"))
+    calls = calls.withColumn("_block", block("start")).join(covered, ["seq_ord", "_block"]).where((F.col("start") >= F.col("_area")) & (F.col("start") < F.col("period_end")))
+    by_place = Window.partitionBy("seq_ord", "_area").orderBy("start", "end", "read_idx", "win_start")
+    stretch = Window.partitionBy("seq_ord", "_area", "_stretch").orderBy("start", "end", "read_idx", "win_start")
     reach = F.max("end").over(stretch.rowsBetween(Window.unboundedPreceding, -1))
-    island = Window.partitionBy("seq_ord", "_stretch", "_island")
+    island = Window.partitionBy("seq_ord", "_area", "_stretch", "_island")
     nth = F.row_number().over(island.orderBy("start", "end", "read_idx", "win_start"))
     total = F.count(F.lit(1)).over(island)
     weight = F.when(F.col("_nth") == 1, F.pow(F.lit(2.0), 1 - F.col("_m"))).otherwise(F.pow(F.lit(2.0), F.col("_nth") - F.col("_m") - 1))
@@ -184,7 +197,7 @@ def consolidate(calls: DataFrame) -> DataFrame:
         .withColumn("_island", F.sum("_island").over(stretch.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_nth", nth)
         .withColumn("_m", total)
-        .groupBy("seq_ord", "_stretch", "_island", "motif")
+        .groupBy("seq_ord", "_area", "_stretch", "_island", "motif")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(weight * F.col("copies")).alias("copies"), F.min("confidence").alias("confidence"))
         .select("seq_ord", *_repeat(F.col("start"), F.col("end"), F.col("motif"), F.col("copies"), 3, F.col("confidence"), (F.col("start"), F.lit(""), F.col("end"))))
     )

@@ -475,7 +475,11 @@ SQL = {
     "pattern_locate_all": f"{_KMERS} SELECT * FROM found",
     "called_motif_count": f"{_CALLED} SELECT seq_ord, motif, count(*) AS n FROM hits GROUP BY seq_ord, motif",
     "called_motif_interval": f"{_CALLED}, {_SUFFIXES.strip().removeprefix('WITH ' + _TEXTS + ',').strip()} SELECT seq_ord, motif, min(rank) AS first_rank, max(rank) AS last_rank FROM hits JOIN (SELECT seq_ord, p AS pos, rank FROM suffixes) USING (seq_ord, pos) GROUP BY seq_ord, motif",
-    "left_bases": f"{_KMERS} SELECT f.seq_ord, motif, CASE WHEN pos = 0 THEN '$' ELSE substring(s, pos, 1) END AS ch, count(*) AS n FROM found f JOIN texts USING (seq_ord) GROUP BY ALL",
+    "left_bases": f"""
+WITH {_TEXTS},
+words AS (SELECT seq_ord, substring('$' || s, p, 7) AS w FROM (SELECT seq_ord, s, unnest(range(1, n + 1)) AS p FROM texts))
+SELECT seq_ord, motif, ch, count(*) AS n
+FROM (SELECT seq_ord, left(w, 1) AS ch, k, substring(w, 2, CAST(k AS BIGINT)) AS motif FROM words, (SELECT unnest(range(1, 7)) AS k) WHERE length(w) > k) JOIN motif_dictionary USING (motif, k) GROUP BY ALL""",
     "suffix_array": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes",
     "bwt": f"{_SUFFIXES} SELECT seq_ord, rank, CASE WHEN p = 0 THEN '$' ELSE substring(t, p, 1) END AS ch FROM suffixes",
     "sampled_sa": f"{_SUFFIXES} SELECT seq_ord, rank, p AS pos FROM suffixes WHERE rank % 32 = 0",
