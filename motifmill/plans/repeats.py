@@ -173,6 +173,11 @@ def sa_progressions(spark: SparkSession, folder: str) -> DataFrame:
     return index.plateau_progressions(_seqs(spark, folder), index=_index(spark, folder))
 
 
+def sa_progressions_10(spark: SparkSession, folder: str) -> DataFrame:
+    """The same at a threshold of 10, where a sequence's greatest LCP reaches it."""
+    return index.plateau_progressions(_seqs(spark, folder), max_period=10, index=_index(spark, folder))
+
+
 def tier1_str(spark: SparkSession, folder: str) -> DataFrame:
     """Short tandem repeats of all sequences."""
     return _calls(tiers.tier1(_seqs(spark, folder), _motifs(spark, folder)))
@@ -216,6 +221,11 @@ def tier3_calls(spark: SparkSession, folder: str) -> DataFrame:
     return tiers.tier3_calls(_read_seqs(spark, folder), _reads(spark, folder)).select("read_idx", "win_start", *columns)
 
 
+def tier3_other_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of single windows on reads other than the one they come from."""
+    return tier3_calls(spark, folder).where("seq_ord != read_idx")
+
+
 def tier3_consolidated(spark: SparkSession, folder: str) -> DataFrame:
     """Very long tandem repeats: merged calls."""
     return _calls(tiers.tier3(_read_seqs(spark, folder), _reads(spark, folder)))
@@ -300,6 +310,7 @@ QUERIES = {
         lcp_array,
         lcp_plateaus,
         sa_progressions,
+        sa_progressions_10,
         tier1_str,
         tier1_unfiltered_runs,
         tier2_runs,
@@ -308,6 +319,7 @@ QUERIES = {
         window_periodicity,
         anchor_map,
         tier3_calls,
+        tier3_other_reads,
         tier3_consolidated,
         all_repeats,
         tier_summary,
@@ -442,10 +454,25 @@ lcps AS (SELECT seq_ord, rank, pos, {previous} AS lcp FROM pairs, {", ".join(ste
 
 
 _LCP = _lcp_sql()
-_PLATEAUS = f"""{_LCP},
-levels AS (SELECT seq_ord, greatest(10, least(1000, max(lcp), 20)) AS threshold FROM lcps GROUP BY seq_ord HAVING max(lcp) >= 10),
+
+
+def _plateaus_sql(min_period: int = 10, max_period: int = 1000) -> str:
+    return f"""{_LCP},
+levels AS (SELECT seq_ord, greatest({min_period}, least({max_period}, max(lcp), 20)) AS threshold FROM lcps GROUP BY seq_ord HAVING max(lcp) >= {min_period}),
 high AS (SELECT seq_ord, threshold, rank, pos, rank - row_number() OVER (PARTITION BY seq_ord ORDER BY rank) AS island FROM lcps JOIN levels USING (seq_ord) WHERE lcp >= threshold),
 plateaus AS (SELECT seq_ord, threshold, min(rank) AS first_rank, max(rank) AS last_rank FROM high GROUP BY seq_ord, threshold, island)"""
+
+
+def _progressions_sql(max_period: int = 1000) -> str:
+    return f"""{_plateaus_sql(max_period=max_period)},
+members AS (SELECT h.*, first_rank FROM high h JOIN plateaus f ON h.seq_ord = f.seq_ord AND h.rank BETWEEN f.first_rank AND f.last_rank),
+marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER w = threshold THEN 0 ELSE 1 END AS new FROM members WINDOW w AS (PARTITION BY seq_ord, first_rank ORDER BY pos)),
+chained AS (SELECT *, sum(new) OVER (PARTITION BY seq_ord, first_rank ORDER BY pos) AS chain FROM marked),
+counted AS (SELECT *, row_number() OVER (PARTITION BY seq_ord, first_rank, chain ORDER BY pos DESC) AS copies FROM chained)
+SELECT c.seq_ord, pos AS start, pos + copies * threshold AS "end", substring(s || '$', pos + 1, threshold) AS motif, CAST(copies AS DOUBLE) AS copies, copies * threshold AS length
+FROM counted c JOIN texts USING (seq_ord) WHERE copies >= 2"""
+
+
 _MERGED_CALLS = f"""{_CALLS},
 ordered AS (SELECT *, row_number() OVER (PARTITION BY seq_ord ORDER BY start, "end", read_idx, win_start) AS nth FROM calls),
 merging AS (
@@ -490,14 +517,9 @@ running AS (SELECT seq_ord, ch, rank + 1 AS prefix, count(*) OVER (PARTITION BY
 SELECT g.seq_ord, g.ch, g.prefix, coalesce(r.occ, 0) AS occ FROM grid g ASOF LEFT JOIN running r ON g.seq_ord = r.seq_ord AND g.ch = r.ch AND g.prefix >= r.prefix""",
     "sa_interval": f"{_SUFFIXES} SELECT seq_ord, motif, min(rank) AS first_rank, max(rank) AS last_rank FROM (SELECT seq_ord, rank, substring(t, p + 1, 6) AS w FROM suffixes), motif_dictionary WHERE length(w) >= k AND left(w, CAST(k AS BIGINT)) = motif GROUP BY seq_ord, motif",
     "lcp_array": f"{_LCP} SELECT * FROM lcps",
-    "lcp_plateaus": f"{_PLATEAUS} SELECT * FROM plateaus",
-    "sa_progressions": f"""{_PLATEAUS},
-members AS (SELECT h.*, first_rank FROM high h JOIN plateaus f ON h.seq_ord = f.seq_ord AND h.rank BETWEEN f.first_rank AND f.last_rank),
-marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER w = threshold THEN 0 ELSE 1 END AS new FROM members WINDOW w AS (PARTITION BY seq_ord, first_rank ORDER BY pos)),
-chained AS (SELECT *, sum(new) OVER (PARTITION BY seq_ord, first_rank ORDER BY pos) AS chain FROM marked),
-counted AS (SELECT *, row_number() OVER (PARTITION BY seq_ord, first_rank, chain ORDER BY pos DESC) AS copies FROM chained)
-SELECT c.seq_ord, pos AS start, pos + copies * threshold AS "end", substring(s || '$', pos + 1, threshold) AS motif, CAST(copies AS DOUBLE) AS copies, copies * threshold AS length
-FROM counted c JOIN texts USING (seq_ord) WHERE copies >= 2""",
+    "lcp_plateaus": f"{_plateaus_sql()} SELECT * FROM plateaus",
+    "sa_progressions": _progressions_sql(),
+    "sa_progressions_10": _progressions_sql(10),
     "tier1_str": f"WITH {_TEXTS}, {_tier1_sql(True)} SELECT {_COLUMNS} FROM t1",
     "tier1_unfiltered_runs": f"WITH {_TEXTS}, {_tier1_sql(False)} SELECT {_COLUMNS} FROM t1",
     "tier2_runs": f"WITH {_TEXTS}, {_TIER2_RUNS} SELECT seq_ord, CAST(p AS INTEGER) AS p, a, z, seed FROM t2_seeds",
@@ -506,6 +528,7 @@ FROM counted c JOIN texts USING (seq_ord) WHERE copies >= 2""",
     "window_periodicity": f"{_SCORED} SELECT * FROM periodic",
     "anchor_map": f"{_CALLS} SELECT seq_ord, anchor, ref_start FROM hits",
     "tier3_calls": f"{_CALLS} SELECT * FROM calls",
+    "tier3_other_reads": f"{_CALLS} SELECT * FROM calls WHERE seq_ord <> read_idx",
     "tier3_consolidated": f"""{_MERGED_CALLS.replace("WITH reads", "WITH RECURSIVE reads", 1)}
 SELECT seq_ord, chrom, start, "end", motif, copies, CAST("end" - start AS BIGINT) AS length, 3 AS tier, confidence FROM merged JOIN seqs USING (seq_ord)""",
     "all_repeats": f"{_BOTH} SELECT {_COLUMNS} FROM both_tiers",

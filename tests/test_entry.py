@@ -10,7 +10,7 @@ import __spark_entry__ as contract  # noqa: E402
 CORE = [
     "sequence_stats", "char_cumulative", "motif_usage", "canonical_motifs", "primitive_flag", "primitive_roots", "pattern_count", "pattern_locate", "tier1_str", "tier1_unfiltered_runs", "tier2_runs",
     "tier2_repeats", "read_windows", "window_periodicity", "anchor_map", "tier3_calls", "tier3_consolidated", "all_repeats", "tier_summary", "top_repeats_by_length", "bed_lines", "vcf_lines",
-    "suffix_array", "sa_interval", "occ_rank", "lcp_array", "lcp_plateaus", "called_motif_count", "called_motif_interval", "left_bases", "vcf_lines_all", "fasta_file", "fastq_file", "p1_found", "p1_key_stats", "p5_found", "p5_periods",
+    "suffix_array", "sa_interval", "occ_rank", "lcp_array", "lcp_plateaus", "sa_progressions_10", "tier3_other_reads", "called_motif_count", "called_motif_interval", "left_bases", "vcf_lines_all", "fasta_file", "fastq_file", "p1_found", "p1_key_stats", "p5_found", "p5_periods",
 ]
 
 
