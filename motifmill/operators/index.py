@@ -4,8 +4,9 @@ Every sequence is indexed with one '$' at its end. Suffixes are ranked by their
 numbers, with one range sort over all sequences: no task sorts a whole sequence, and whatever one task sorts is read
 as a stream. A suffix that begins with a period of up to 8 characters is ranked by how long the period goes on and by
 what ends it, so that a run of N or a short tandem array of any length leaves no ties. The ties that are left are
-broken by doubling: a class of suffixes that agree in m characters is ranked by the ranks of the suffixes m
-characters later. A round reads and writes tied suffixes only. What is found is written to the checkpoint folder.
+broken by the next 256 characters, and then by doubling: a class of suffixes that agree in m characters is ranked by
+the ranks of the suffixes m characters later. A round reads and writes tied suffixes only. What is found is written
+to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from motifmill.session import BROADCAST_ROWS, checkpointed, shuffle_width, writt
 PREFIX = 16
 _PERIOD = 8
 _BLOCK = 4096
+_TEXT, _NEAR = 256, 1024  # characters of the second key, and length of the pieces of text that it is read from
 _ENDS_HIGH = 1 << 62  # a period that a greater character ends: the longer, the lesser
 _SIGN = np.uint64(1 << 63)
 
@@ -111,11 +113,23 @@ def _rank_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Index:
     """``table``: (seq_ord, rank, pos, ch, k0, k1, tail, class_rank, lcp), ``lcp`` known for the first of each class of
     equal keys. ``tied``: of it, the rows of classes of two or more. ``levels``: the tied classes (seq_ord, pos, rank,
-    agree) before each round of doubling, whose members agree in ``agree`` characters."""
+    agree) before each round, whose members agree in ``agree`` characters; the first round goes by the text ``near``,
+    the others by doubling."""
 
     table: DataFrame
     tied: DataFrame
     levels: list[DataFrame]
+    near: DataFrame
+
+
+def _with_text(rows: DataFrame, near: DataFrame, at: str, name: str) -> DataFrame:
+    """Adds the text of up to 256 characters that begins at ``at``, null behind the end."""
+    return (
+        rows.withColumn("base", F.floor(F.col(at) / _NEAR) * _NEAR)
+        .join(near, ["seq_ord", "base"], "left")
+        .withColumn(name, F.nullif(F.substring("chunk", (F.col(at) - F.col("base") + 1).cast("int"), F.lit(_TEXT)), F.lit("")))
+        .drop("base", "chunk")
+    )
 
 
 def _agree() -> Column:
@@ -123,6 +137,13 @@ def _agree() -> Column:
     return F.when(tail == 0, F.lit(PREFIX)).when(tail < _ENDS_HIGH >> 1, tail).otherwise(F.lit(_ENDS_HIGH) - tail).cast("bigint")
 
 
+def _broken(later: DataFrame) -> DataFrame:
+    """Tied classes (seq_ord, pos, rank, agree) broken by ``_later``, of which ``_more`` characters agree where it is equal."""
+    group = Window.partitionBy("seq_ord", "rank").orderBy(F.asc_nulls_first("_later"))
+    steps = later.withColumn("_step", F.rank().over(group) - 1).withColumn("_ties", F.count(F.lit(1)).over(group.rangeBetween(0, 0)))
+    return checkpointed(steps.select("seq_ord", "pos", (F.col("rank") + F.col("_step")).cast("bigint").alias("rank"), "_ties", (F.col("agree") + F.coalesce("_more", F.lit(0))).alias("agree")))
+
+
 def build(seqs: DataFrame) -> Index:
     """The index of every sequence (an empty one has the suffix '$' alone), sequences known by ``seq_ord``."""
     texts = indexed_text(seqs)
@@ -141,28 +162,31 @@ def build(seqs: DataFrame) -> Index:
     untied, classes = base.where("ties = 1").select(*columns), base.where("ties > 1")
     level = checkpointed(classes.select("seq_ord", "pos", "rank", _agree().alias("agree")))
     levels, settled, latest = [], None, None
-    ranks_of = base.select("seq_ord", "pos", "rank", _agree().alias("agree")).persist()  # read in each round
+    near = checkpointed(chunks(texts, _TEXT, _NEAR).select("seq_ord", "base", "chunk"))
+    ranks_of = base.select("seq_ord", "pos", "rank", _agree().alias("agree")).persist()  # read in each round of doubling
     while n := level.count():
         levels.append(level)
+        if len(levels) == 1:
+            by_text = _with_text(level.withColumn("_next", F.col("pos") + F.col("agree")), near, "_next", "_later")
+            found = _broken(by_text.withColumn("_more", F.length("_later").cast("bigint")))
+            latest = found.select("seq_ord", "pos", "rank", "agree")
+            settled = found.where("_ties = 1").select("seq_ord", "pos", "rank", "agree")
+            level = found.where("_ties > 1").select("seq_ord", "pos", "rank", "agree")
+            continue
         wanted = level.select("seq_ord", (F.col("pos") + F.col("agree")).alias("pos")).distinct()
         later = ranks_of.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, ["seq_ord", "pos"])
-        if latest is not None:
-            newer = latest.select("seq_ord", "pos", F.col("rank").alias("_newer"), F.col("agree").alias("_more"))
-            later = later.join(newer, ["seq_ord", "pos"], "left").select("seq_ord", "pos", F.coalesce("_newer", "rank").alias("rank"), F.coalesce("_more", "agree").alias("agree"))
+        newer = latest.select("seq_ord", "pos", F.col("rank").alias("_newer"), F.col("agree").alias("_more"))
+        later = later.join(newer, ["seq_ord", "pos"], "left").select("seq_ord", "pos", F.coalesce("_newer", "rank").alias("rank"), F.coalesce("_more", "agree").alias("agree"))
         later = later.select("seq_ord", F.col("pos").alias("_next"), F.col("rank").alias("_later"), F.col("agree").alias("_more"))
-        group = Window.partitionBy("seq_ord", "rank").orderBy(F.asc_nulls_first("_later"))
-        broken = level.withColumn("_next", F.col("pos") + F.col("agree")).join(later, ["seq_ord", "_next"], "left").withColumn("_step", F.rank().over(group) - 1).withColumn("_ties", F.count(F.lit(1)).over(group.rangeBetween(0, 0)))
-        found = checkpointed(broken.select("seq_ord", "pos", (F.col("rank") + F.col("_step")).cast("bigint").alias("rank"), "_ties", (F.col("agree") + F.coalesce("_more", F.lit(0))).alias("agree")))
-        ranks = found.select("seq_ord", "pos", "rank", "agree")
-        latest = ranks if settled is None else ranks.unionByName(settled)
-        alone = found.where("_ties = 1").select("seq_ord", "pos", "rank", "agree")
-        settled = alone if settled is None else settled.unionByName(alone)
+        found = _broken(level.withColumn("_next", F.col("pos") + F.col("agree")).join(later, ["seq_ord", "_next"], "left"))
+        latest = found.select("seq_ord", "pos", "rank", "agree").unionByName(settled)
+        settled = settled.unionByName(found.where("_ties = 1").select("seq_ord", "pos", "rank", "agree"))
         level = found.where("_ties > 1").select("seq_ord", "pos", "rank", "agree")
     ranks_of.unpersist()
     if settled is None:
-        return Index(untied, untied.where("false"), levels)
+        return Index(untied, untied.where("false"), levels, near)
     tied = checkpointed(classes.drop("rank", "ties").join(settled.select("seq_ord", "pos", "rank"), ["seq_ord", "pos"]).select(*columns))
-    return Index(untied.unionByName(tied), tied, levels)
+    return Index(untied.unionByName(tied), tied, levels, near)
 
 
 def _built(source: DataFrame | Index) -> Index:
@@ -312,7 +336,8 @@ def lcp_array(source: DataFrame | Index) -> DataFrame:
     """(seq_ord, rank, pos, lcp): length of the prefix a suffix shares with the one ranked before it; 0 at rank 0.
 
     Where the keys differ the sort has told it. Pairs with equal keys go on, from the last round of doubling to the
-    first, by as much as their class agreed in wherever they were in one class; then their keys differ.
+    first, by as much as their class agreed in wherever they were in one class; then their keys differ, or the text
+    behind equal keys.
     """
     index = _built(source)
     known = index.table.where("rank = class_rank and lcp >= 0 or rank = 0").select("seq_ord", "rank", "pos", F.greatest("lcp", F.lit(0)).alias("lcp"))
@@ -324,7 +349,16 @@ def lcp_array(source: DataFrame | Index) -> DataFrame:
     for level in reversed(index.levels):
         i, j = (level.select("seq_ord", F.col("pos").alias(f"_{s}"), F.col("rank").alias(f"_r{s}"), F.col("agree").alias(f"_g{s}")) for s in "ij")
         skip = F.when(F.col("_ri") == F.col("_rj"), F.col("_gi")).otherwise(0)
-        pairs = pairs.join(i, ["seq_ord", "_i"], "left").join(j, ["seq_ord", "_j"], "left").select("seq_ord", "rank", "pos", (F.col("_i") + skip).alias("_i"), (F.col("_j") + skip).alias("_j"))
+        pairs = pairs.join(i, ["seq_ord", "_i"], "left").join(j, ["seq_ord", "_j"], "left").select("seq_ord", "rank", "pos", (F.col("_i") + skip).alias("_i"), (F.col("_j") + skip).alias("_j"), (skip > 0).alias("_by_text"))
+    if index.levels:
+        pairs = checkpointed(pairs)  # the last level was the first: those in one class there differ in the text behind
+    else:
+        pairs = pairs.withColumn("_by_text", F.lit(False))
+    texts = _with_text(_with_text(pairs.where("_by_text"), index.near, "_i", "_x"), index.near, "_j", "_y")
+    widths = F.array(*(F.lit(_TEXT >> i) for i in range(1, _TEXT.bit_length())))
+    same = F.aggregate(widths, F.lit(0), lambda n, w: F.when(F.substring("_x", n + 1, w) == F.substring("_y", n + 1, w), n + w).otherwise(n))
+    by_text = texts.select("seq_ord", "rank", "pos", (F.col("_i") - F.col("pos") + F.when(F.col("_x").isNull() | F.col("_y").isNull(), 0).otherwise(same)).cast("bigint").alias("lcp"))
+    pairs = pairs.where("not _by_text")
     ends = pairs.select("seq_ord", "rank", F.col("pos").alias("_begin"), (F.col("_i") - F.col("pos")).alias("_done"), F.posexplode(F.array("_i", "_j")).alias("_side", "pos"))
     keyed = ends.join(index.table.select("seq_ord", "pos", "k0", "k1", _agree().alias("_length")), ["seq_ord", "pos"], "left")
     side = lambda c, n: F.max(F.when(F.col("_side") == n, F.col(c))).alias(f"{c}_{n}")
@@ -333,7 +367,7 @@ def lcp_array(source: DataFrame | Index) -> DataFrame:
     rest = F.when(high < 8, high).when(low < 8, 8 + low).otherwise(F.least("_length_0", "_length_1"))
     # behind the end of the text there is no suffix and nothing in common
     found = F.col("_done") + F.when(F.col("k0_0").isNull() | F.col("k0_1").isNull(), 0).otherwise(rest)
-    return known.unionByName(both.select("seq_ord", "rank", F.col("_begin").alias("pos"), found.cast("bigint").alias("lcp")))
+    return known.unionByName(by_text).unionByName(both.select("seq_ord", "rank", F.col("_begin").alias("pos"), found.cast("bigint").alias("lcp")))
 
 
 def lcp_plateaus(source: DataFrame | Index, min_period: int = 10, max_period: int = 1000) -> DataFrame:

@@ -172,3 +172,17 @@ def test_runs_of_a_million_leave_no_ties_and_no_large_task(spark):
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
     lcp = {(r["seq_ord"], r["pos"]): r["lcp"] for r in index.lcp_array(built).where("pos in (2, 3, 500000)").collect()}
     assert lcp[0, 2] == n - 1 and lcp[0, 500000] == 1000002 - 500001
+
+
+def test_long_repeats_are_told_apart(spark):
+    rng = random.Random(12)
+    block, other = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (1500, 400))
+    texts = [block + "T" + block + other + block[:700] + other, other * 4, (block[:90] * 9 + "G") * 2]
+    built = index.build(sequences(spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "seq_ord bigint, chrom string, seq string")))
+    assert len(built.levels) >= 3
+    sa = {(r["seq_ord"], r["rank"]): r["pos"] for r in index.suffix_array(built).collect()}
+    lcp = {(r["seq_ord"], r["rank"]): r["lcp"] for r in index.lcp_array(built).collect()}
+    for i, t in enumerate(texts):
+        full, order = suffixes(t)
+        assert [sa[i, k] for k in range(len(full))] == order
+        assert [lcp[i, k] for k in range(len(full))] == [0, *(common(full[a:], full[b:]) for a, b in zip(order, order[1:]))]
