@@ -186,3 +186,25 @@ def test_long_repeats_are_told_apart(spark):
         full, order = suffixes(t)
         assert [sa[i, k] for k in range(len(full))] == order
         assert [lcp[i, k] for k in range(len(full))] == [0, *(common(full[a:], full[b:]) for a, b in zip(order, order[1:]))]
+
+
+def test_many_patterns_are_counted_without_exploding_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [*TEXTS, "".join(rng.choice("ACGT") for _ in range(3000)), "CAG" * 100]
+    words = sorted({t[i : i + k] for t in texts if t for k in (1, 2, 6, 9, 13, 30, 70) for i in range(0, len(t) - k + 1, 7)} | {"ACGTACGTACGTACGTT", "Q", "N" * 200})
+    motifs = spark.createDataFrame([(w,) for w in words], "motif string")
+    s = sequences(spark.createDataFrame([(i, "c", t) for i, t in enumerate([*texts, texts[5]])], "seq_ord bigint, chrom string, seq string"))
+    twice = s.withColumn("seq_ord", F.when(F.col("seq_ord") == len(texts), 5).otherwise(F.col("seq_ord")))
+    want = {(i, w): n for i, t in enumerate(texts) for w in words if (n := sum((t or "").startswith(w, p) for p in range(len(t or ""))))}
+
+    def check(rows, times=1):
+        got = [(r["seq_ord"], r["motif"], r["n"]) for r in rows.collect() if r["seq_ord"] < len(texts)]
+        assert len(got) == len(want) and {g[:2]: g[2] for g in got} == {k: n * (times if k[0] == 5 else 1) for k, n in want.items()}
+
+    check(patterns.motif_counts(s, motifs))
+    check(patterns.motif_counts(twice, motifs), 2)
+    monkeypatch.setattr(patterns, "DICTIONARY", 100)
+    monkeypatch.setattr(patterns, "CHUNK", 128)
+    counts = patterns.motif_counts(s, motifs)
+    check(counts)
+    assert "Generate" not in counts._jdf.queryExecution().toString()
