@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from motifmill.operators.arrowstream import changes, whole_groups
 from motifmill.operators.kmers import CHUNK, chunks
-from motifmill.operators.patterns import motif_places
+from motifmill.operators.patterns import Group, found_rows, groups, listed, lookup_of, looked_up, motif_places, split, whole_rows
 from motifmill.operators.runs import period_runs
 from motifmill.session import BROADCAST_ROWS, checkpointed, shuffle_width, written
 
 PREFIX = 16
+#: Characters of a text up to which one task ranks all its suffixes, where only intervals are asked for.
+WHOLE = 1 << 20
 _PERIOD = 8
 _BLOCK = 4096
 _TEXT, _NEAR = 256, 1024  # characters of the second key, and length of the pieces of text that it is read from
@@ -301,13 +303,89 @@ def _prefix_runs(patterns: list[str]):
     return run
 
 
+def _suffix_ranks(group: Group) -> np.ndarray:
+    """For each byte of a group of whole texts with end mark: the place of its suffix among all, text by text, -1 between
+    the texts. Sorted by as many characters as a number holds, then ties are doubled."""
+    codes = group.codes
+    inside = np.flatnonzero(np.arange(len(codes)) - group.first[group.piece] < group.size[group.piece])
+    letters = np.unique(codes[inside])
+    symbol = np.zeros(256, dtype=np.int64)
+    symbol[letters] = np.arange(1, len(letters) + 1)
+    bits, pieces = int(len(letters)).bit_length(), int(len(group.first) - 1).bit_length()
+    key, reach = symbol[codes], 1
+    outside = np.ones(len(codes), dtype=bool)
+    outside[inside] = False
+    key[outside] = 0
+    while 2 * reach * bits + pieces <= 63 and reach < PREFIX:
+        key = (key << (reach * bits)) | np.append(key[reach:], np.zeros(reach, dtype=np.int64))[: len(key)]
+        reach *= 2
+    key = (key | (group.piece << (reach * bits)))[inside]
+    order = np.argsort(key)
+    key, order = key[order], inside[order]
+    ranks = np.full(len(codes), -1)
+    start = np.append(True, key[1:] != key[:-1])
+    classes = np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+    ranks[order] = classes
+    tied = np.flatnonzero(~start | ~np.append(start[1:], True))
+    at, classes = order[tied], classes[tied]
+    while len(at):  # two of a class go on for ``reach`` characters at least, so what is there is in the text or just behind it
+        second = classes * (len(order) + 1) + ranks[at + reach] + 1
+        by = np.argsort(second)
+        at, classes, second = at[by], classes[by], second[by]
+        n = np.arange(len(at))
+        new_class, start = np.append(True, classes[1:] != classes[:-1]), np.append(True, second[1:] != second[:-1])
+        classes = classes + np.maximum.accumulate(np.where(start, n, 0)) - np.maximum.accumulate(np.where(new_class, n, 0))
+        ranks[at] = classes
+        left = ~start | ~np.append(start[1:], True)
+        at, classes, reach = at[left], classes[left], 2 * reach
+    return ranks
+
+
+def _whole_intervals(token: str, names: pa.Array):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = lookup_of(token, names)
+        for group in groups(batches, "$", PREFIX):
+            ranks, found = _suffix_ranks(group), []
+            first = np.cumsum(group.size) - group.size
+            rows = np.full(int(group.size.sum()), -1)
+            for k, place, which in lookup.find(group.codes, group.room):
+                rank = ranks[place]
+                if 8 * len(place) > len(rows):
+                    rows[rank] = which
+                    rank = np.flatnonzero(rows >= 0)
+                    which = rows[rank]
+                    rows[rank] = -1
+                else:
+                    by = np.argsort(rank)
+                    rank, which = rank[by], which[by]
+                piece = np.searchsorted(first, rank, side="right") - 1 if len(rank) < 1000 else np.repeat(np.arange(len(first)), group.size)[rank]
+                begins = np.append(True, (which[1:] != which[:-1]) | (piece[1:] != piece[:-1]))  # the rows of a pattern follow each other
+                low, high = rank[begins], rank[np.append(begins[1:], True)]
+                piece = piece[begins]
+                found.append((piece, lookup.numbers[k][which[begins]], low - first[piece], high - first[piece]))
+            yield from found_rows(lookup, group, found, ["first_rank", "last_rank"])
+
+    return run
+
+
 def motif_intervals(seqs: DataFrame, motifs: DataFrame, index: Index | None = None) -> DataFrame:
     """(seq_ord, motif, first_rank, last_rank): the rows whose suffixes begin with a pattern of ``motifs.motif``, of any length.
 
-    Patterns of up to 8 characters are read off the packed keys; longer ones are located in the text and their
-    places looked up in the suffix array. An empty or null pattern has no row.
+    Without an index, texts of up to ``WHOLE`` characters are ranked where they are read and only intervals leave the
+    task; an index is made of longer ones alone. An empty or null pattern has no row.
     """
-    rows = (index or build(seqs)).table
+    if index is not None:
+        return _index_intervals(seqs, motifs, index)
+    parts = listed(motifs)
+    whole, others = split(seqs, WHOLE)
+    found = looked_up(whole_rows(whole), parts, _whole_intervals, "seq_ord bigint, motif string, first_rank bigint, last_rank bigint")
+    return found if others.isEmpty() else found.unionByName(_index_intervals(others, motifs, build(others)))
+
+
+def _index_intervals(seqs: DataFrame, motifs: DataFrame, index: Index) -> DataFrame:
+    """The same from an index: patterns of up to 8 characters are read off the packed keys; longer ones are located in the
+    text and their places looked up in the suffix array."""
+    rows = index.table
     short = [r["motif"] for r in motifs.where("length(motif) between 1 and 8").select("motif").distinct().limit(200_001).collect()]  # bounded
     long = motifs.where("length(motif) > 8") if len(short) <= 200_000 else motifs
     places = motif_places(seqs, long).join(rows.select("seq_ord", "pos", "rank"), ["seq_ord", "pos"]).select("seq_ord", "motif", F.col("rank").alias("first_rank"), F.col("rank").alias("last_rank"))

@@ -208,3 +208,28 @@ def test_many_patterns_are_counted_without_exploding_texts(spark, monkeypatch):
     counts = patterns.motif_counts(s, motifs)
     check(counts)
     assert "Generate" not in counts._jdf.queryExecution().toString()
+
+
+def test_intervals_of_whole_texts_need_no_index(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [*TEXTS, "".join(rng.choice("ACGTRYKMSW") for _ in range(500)), "ACG" * 200 + "AC", "N" * 900, "\0A\0\0AC!", "".join(rng.choice("AC") for _ in range(700))]
+    words = sorted({t[i : i + k] for t in texts if t for k in (1, 2, 5, 8, 9, 13, 40) for i in range(0, len(t) - k + 1, 5)} | {"T$", "$", "Q"})
+    s = sequences(spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "seq_ord bigint, chrom string, seq string")).repartition(1)
+    motifs = spark.createDataFrame([(w,) for w in words], "motif string")
+    want = {}
+    for i, t in enumerate(texts):
+        full, order = suffixes(t)
+        for k, p in enumerate(order):
+            for w in words:
+                if full.startswith(w, p) and p + len(w) < len(full):
+                    want.setdefault((i, w), []).append(k)
+    want = {x: (ks[0], ks[-1]) for x, ks in want.items()}
+    build = index.build
+    monkeypatch.setattr(index, "build", None)
+    got = index.motif_intervals(s, motifs).collect()
+    assert len(got) == len(want) and {(r["seq_ord"], r["motif"]): (r["first_rank"], r["last_rank"]) for r in got} == want
+    monkeypatch.setattr(index, "build", build)
+    monkeypatch.setattr(index, "WHOLE", 300)
+    acgt = [i for i, t in enumerate(texts) if t and "\0" not in t]
+    got = index.motif_intervals(s.where(F.col("seq_ord").isin(acgt)), motifs.where("not contains(motif, '$')")).collect()
+    assert {(r["seq_ord"], r["motif"]): (r["first_rank"], r["last_rank"]) for r in got} == {x: r for x, r in want.items() if x[0] in acgt and "$" not in x[1]}
