@@ -215,6 +215,27 @@ def _counts(token: str, patterns: pa.Array):
     return run
 
 
+def _befores(token: str, patterns: pa.Array):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = lookup_of(token, patterns)
+        for group in groups(batches):
+            before = np.append(np.uint8(0), group.codes[:-1])
+            before[group.first] = np.frombuffer("".join(x or "$" for x in group.left).encode("latin-1", "replace"), dtype=np.uint8)
+            letters = np.unique(before)
+            symbol, chars = np.zeros(256, dtype=np.int64), pa.array([chr(x) for x in letters], pa.string())
+            symbol[letters] = np.arange(len(letters))
+            before, found = symbol[before], []
+            for k, place, which in lookup.find(group.codes, group.room):
+                size = len(lookup.numbers[k])
+                held, n = _tally((group.piece[place] * size + which) * len(letters) + before[place], len(group.first) * size * len(letters))
+                key, ch = np.divmod(held, len(letters))
+                found.append((key // size, lookup.numbers[k][key % size], ch, n))
+            for batch in found_rows(lookup, group, found, ["ch", "n"]):
+                yield batch.set_column(2, "ch", chars.take(batch.column(2)))
+
+    return run
+
+
 def split(seqs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Sequences that one task can finish, and the others: longer than ``size``, or of a number that is there twice."""
     if seqs.groupBy("seq_ord").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or seq_ord is null").isEmpty():
@@ -273,3 +294,8 @@ def motif_places(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
 def motif_counts(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
     """(seq_ord, motif, n): occurrences, overlapping ones too, of each pattern that a sequence holds."""
     return _summed(seqs, motifs, _counts, [])
+
+
+def preceding_characters(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
+    """(seq_ord, motif, ch, n): how often each character stands before a pattern, read off the texts; '$' is the start of a text."""
+    return _summed(seqs, motifs, _befores, ["ch"])

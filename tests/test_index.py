@@ -233,3 +233,29 @@ def test_intervals_of_whole_texts_need_no_index(spark, monkeypatch):
     acgt = [i for i, t in enumerate(texts) if t and "\0" not in t]
     got = index.motif_intervals(s.where(F.col("seq_ord").isin(acgt)), motifs.where("not contains(motif, '$')")).collect()
     assert {(r["seq_ord"], r["motif"]): (r["first_rank"], r["last_rank"]) for r in got} == {x: r for x, r in want.items() if x[0] in acgt and "$" not in x[1]}
+
+
+def test_characters_before_motifs_need_no_index(spark, monkeypatch):
+    texts = [*TEXTS, "".join(random.Random(9).choice("ACGTN") for _ in range(2000)), "GAC" * 150]
+    s = sequences(spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "seq_ord bigint, chrom string, seq string"))
+    words = ["A", "AC", "GATTAC", "G", "ACGTTGCAACACG", "NNN", "", None, "Q"]
+    motifs = spark.createDataFrame([(w,) for w in words], "motif string")
+    want = {}
+    for i, t in enumerate(texts):
+        full = "$" + (t or "")
+        for m in filter(None, words):
+            for p in range(1, len(full)):
+                if full.startswith(m, p):
+                    want[i, m, full[p - 1]] = want.get((i, m, full[p - 1]), 0) + 1
+    for size in (patterns.CHUNK, 64):
+        monkeypatch.setattr(patterns, "CHUNK", size)
+        got = patterns.preceding_characters(s, motifs).collect()
+        assert len(got) == len(want) and {(r["seq_ord"], r["motif"], r["ch"]): r["n"] for r in got} == want
+
+
+def test_left_bases_builds_no_index(spark, data, monkeypatch):
+    from motifmill.plans import repeats
+
+    monkeypatch.setattr(index, "build", None)
+    monkeypatch.setattr(repeats, "_INDEXES", {})
+    assert not repeats.left_bases(spark, data).isEmpty()
